@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakv.llm import mixing, quality
+from stratakv.llm import minhash, mixing, quality
 from stratakv.llm.common import read
 
 
@@ -19,5 +19,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op6_mixing)}
-ORACLES = {"op1_quality_rules": quality.SQL, "op6_mixing": mixing.SQL}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.classes(read(spark, sf_dir, "documents"), n=2, percent=80)
+    return found.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op6_mixing, op10_minhash)}
+ORACLES = {"op1_quality_rules": quality.SQL, "op6_mixing": mixing.SQL, "op10_minhash": minhash.SQL}
