@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakv.llm import minhash, mixing, quality
+from stratakv.llm import minhash, mixing, quality, substring
 from stratakv.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text")).select(*cols)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(mixing.sizes_of(read(spark, sf_dir, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -24,5 +28,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op6_mixing, op10_minhash)}
-ORACLES = {"op1_quality_rules": quality.SQL, "op6_mixing": mixing.SQL, "op10_minhash": minhash.SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_substring_dedup, op6_mixing, op10_minhash)}
+ORACLES = {"op1_quality_rules": quality.SQL, "op4_substring_dedup": substring.SQL, "op6_mixing": mixing.SQL, "op10_minhash": minhash.SQL}
