@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakv.llm import minhash, mixing, quality, substring, warc
+from stratakv.llm import minhash, mixing, quality, substring, toxicity, warc
 from stratakv.llm.common import read
 
 
@@ -23,6 +23,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
@@ -32,5 +37,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_substring_dedup, op6_mixing, op9_warc, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_substring_dedup, op6_mixing, op7_toxicity, op9_warc, op10_minhash)}
 ORACLES = {"op1_quality_rules": quality.SQL, "op4_substring_dedup": substring.SQL, "op6_mixing": mixing.SQL, "op9_warc": warc.SQL, "op10_minhash": minhash.SQL}

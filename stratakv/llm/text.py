@@ -85,9 +85,9 @@ def pieces(off: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, off: np.ndarray, spaces: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and where each text's words begin in these."""
-    w = ~SPACES[data]
+    w = ~spaces[data]
     first, last = w.copy(), w.copy()
     first[1:] &= ~w[:-1]
     last[:-1] &= ~w[1:]
