@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakv.llm import minhash, mixing, quality, substring, toxicity, warc
+from stratakv.llm import licenses, minhash, mixing, pieces, quality, substring, toxicity, warc
 from stratakv.llm.common import read
 
 
@@ -14,10 +14,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text")).select(*cols)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), pieces.vocabulary(), check=True)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(mixing.sizes_of(read(spark, sf_dir, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -37,5 +45,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_substring_dedup, op6_mixing, op7_toxicity, op9_warc, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_license_scan, op4_substring_dedup, op5_sentencepiece, op6_mixing, op7_toxicity, op9_warc, op10_minhash)}
 ORACLES = {"op1_quality_rules": quality.SQL, "op4_substring_dedup": substring.SQL, "op6_mixing": mixing.SQL, "op9_warc": warc.SQL, "op10_minhash": minhash.SQL}
