@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakv.llm import licenses, minhash, mixing, pieces, quality, substring, toxicity, warc
+from stratakv.llm import ann, licenses, minhash, mixing, pieces, quality, substring, toxicity, warc
 from stratakv.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text")).select(*cols)
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_license_scan, op4_substring_dedup, op5_sentencepiece, op6_mixing, op7_toxicity, op9_warc, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_nearest_neighbours, op3_license_scan, op4_substring_dedup, op5_sentencepiece, op6_mixing, op7_toxicity, op9_warc, op10_minhash)}
 ORACLES = {"op1_quality_rules": quality.SQL, "op4_substring_dedup": substring.SQL, "op6_mixing": mixing.SQL, "op9_warc": warc.SQL, "op10_minhash": minhash.SQL}
