@@ -21,6 +21,7 @@ class Spans(NamedTuple):
     text: np.ndarray  # which text
     lo: np.ndarray  # start of the first window in the text
     n: np.ndarray  # number of windows
+    at: np.ndarray  # where the anchor is in the text
 
 
 def least(values: np.ndarray, w: int) -> np.ndarray:
@@ -42,7 +43,7 @@ def spans(seed: tuple[Family, np.ndarray], check: tuple[Family, np.ndarray], fir
     wins = np.maximum(size - length + 1, 0)
     if not wins.any():
         none = np.zeros(0, np.int64)
-        return Spans(none, none, none, none, none)
+        return Spans(none, none, none, none, none, none)
     fam, h = seed
     i = np.arange(len(h) - k)
     start = ranges(first[:-1][wins > 0], wins[wins > 0])
@@ -50,4 +51,4 @@ def spans(seed: tuple[Family, np.ndarray], check: tuple[Family, np.ndarray], fir
     cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     lo, hi, at = start[cut], start[np.r_[cut[1:], len(start)] - 1], at[cut]
     text = np.searchsorted(first, lo, "right") - 1
-    return Spans(fam.span(h, at, at + k), check[0].span(check[1], lo, hi + length), text, lo - first[text], hi - lo + 1)
+    return Spans(fam.span(h, at, at + k), check[0].span(check[1], lo, hi + length), text, lo - first[text], hi - lo + 1, at - first[text])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakv.llm import ann, licenses, minhash, mixing, pieces, quality, substring, toxicity, warc
+from stratakv.llm import ann, licenses, minhash, mixing, pieces, quality, substring, suffix, toxicity, warc
 from stratakv.llm.common import read
 
 
@@ -40,6 +40,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.dedup(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
@@ -49,5 +54,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_nearest_neighbours, op3_license_scan, op4_substring_dedup, op5_sentencepiece, op6_mixing, op7_toxicity, op9_warc, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_nearest_neighbours, op3_license_scan, op4_substring_dedup, op5_sentencepiece, op6_mixing, op7_toxicity, op8_suffix_dedup, op9_warc, op10_minhash)}
 ORACLES = {"op1_quality_rules": quality.SQL, "op4_substring_dedup": substring.SQL, "op6_mixing": mixing.SQL, "op9_warc": warc.SQL, "op10_minhash": minhash.SQL}
