@@ -7,8 +7,9 @@ similarity s lacks a common table with probability below 2 * (1 - s ** half) **
 
 Only keys that a second document shares are combined, so a document like no other reaches no table.
 Documents with equal sets are one representative from the start. Tables' groups never expand into all
-pairs: each member is first confirmed against its group's smallest member; links found make components;
-then only pairs of different components that still meet in a group are confirmed, until none is left.
+pairs: each member is first confirmed against its group's smallest member; links found make components.
+Documents that met in a table, directly or not, are a cluster; where a cluster still has several components,
+the pairs between them that can be similar enough are found by exact prefix filtering and confirmed.
 
 Defined cases: null and blank texts have an empty set and stay alone; a text with fewer words than n has one
 shingle, the whole sequence. A row without id joins the class of an equal set, else its class is null; rows
@@ -20,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratakv.llm.common import written
@@ -28,8 +29,8 @@ from stratakv.llm.components import components
 from stratakv.llm.text import LOWER, Family, mix64, texts, word_spans
 
 HALF, KEYS = 4, 20
-#: Rounds that link component leaders before all pairs left are confirmed.
-ROUNDS = 3
+#: Rounds that link component leaders before the pairs left are searched.
+ROUNDS = 2
 
 
 def _seeded(n: int, seed: int) -> np.ndarray:
@@ -166,13 +167,43 @@ def _leaders(member: DataFrame) -> DataFrame:
     return first.join(low, "g").where("u > v").select("u", "v")
 
 
-def _across(member: DataFrame) -> DataFrame:
-    """All pairs of members of one group that are in different components."""
-    mixed = member.groupBy("g").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("g")
-    m = member.join(mixed, "g")
-    x = m.select("g", F.col("doc_id").alias("u"), F.col("component").alias("cu"))
-    y = m.select("g", F.col("doc_id").alias("v"), F.col("component").alias("cv"))
-    return x.join(y, "g").where("u > v AND cu <> cv").select("u", "v")
+def _tokens(label: DataFrame, packed: DataFrame, n: int) -> DataFrame:
+    """cluster, token, doc_id, component, size: the shingles of the documents in label."""
+
+    def run(batches):
+        fam, unpack = Family(7), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                raw = np.frombuffer(unpack.decompress(batch.column("z")[i].as_py()), np.uint8)
+                x = shingles(raw, np.array([0, len(raw)]), n, fam)[0]
+                same = [pa.array(np.full(len(x), batch.column(c)[i].as_py(), np.int64)) for c in ("cluster", "doc_id", "component")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(x.view(np.int64)), pa.array(np.full(len(x), len(x)))], ["cluster", "doc_id", "component", "token", "size"])
+
+    rows = packed.join(label, "doc_id").select("cluster", "doc_id", "component", "z")
+    return rows.mapInArrow(run, "cluster long, doc_id long, component long, token long, size long")
+
+
+def _across(label: DataFrame, packed: DataFrame, n: int, percent: int) -> DataFrame:
+    """Every pair (u, v) of different components of a cluster that can still be similar enough, by prefix filtering.
+
+    label: doc_id, cluster, component. Documents outside their cluster's largest component probe. To be
+    linked with a document of size s, a document of size m must share percent * (m + s) / (100 + percent)
+    of its shingles, so one of the rest plus one that are rarest in the cluster must be shared. A document
+    that differs from all others has rare shingles there, so few pairs come back; none that is linked is lost.
+    """
+    size = label.groupBy("cluster", "component").agg(F.count("*").alias("c"))
+    main = size.groupBy("cluster").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").select("cluster", "main")
+    row = written(_tokens(label.join(main, "cluster").select("doc_id", "cluster", "component"), packed, n), "tokens")
+    rare = row.groupBy("cluster", "token").agg(F.count("*").alias("df"))
+    probe = row.join(main, "cluster").where("component <> main").join(rare, ["cluster", "token"])
+    r = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "token"))
+    most = F.floor((100 + percent) * (F.col("size") - F.col("r") + 1) / percent) - F.col("size")
+    least = F.ceil(F.col("size") * percent / 100)
+    probe = probe.select("*", r.alias("r")).select("cluster", "token", "df", F.col("doc_id").alias("u"), F.col("component").alias("cu"), least.alias("least"), most.alias("most"))
+    probe = probe.where("most >= least AND df > 1").drop("df")
+    other = row.select("cluster", "token", F.col("doc_id").alias("v"), F.col("component").alias("cv"), F.col("size").alias("s"))
+    met = probe.join(other, ["cluster", "token"]).where("cu <> cv AND s BETWEEN least AND most")
+    return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", half: int = HALF, keys: int = KEYS) -> DataFrame:
@@ -187,19 +218,18 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text",
     first = group.join(group.groupBy("g").agg(F.min("doc_id").alias("v")), "g").where("doc_id > v").select(F.col("doc_id").alias("u"), "v").distinct()
     done = written(first, "pairs")
     links = written(confirm(done, packed, n, percent), "confirmed")
-    comp, leading = components(links), ROUNDS
-    while True:
-        label = written(comp, "components")
-        member = group.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("g", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        todo = written((_leaders(member) if leading else _across(member)).distinct().join(done, ["u", "v"], "left_anti"), "pairs")
-        found = bool(todo.head(1))
-        if found:
+    cluster = written(components(done).select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
+    comp = components(links)
+    for k in range(ROUNDS + 1):
+        stars = written(comp, "components")
+        own = F.coalesce("component", "doc_id").alias("component")
+        label = cluster.join(stars.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "cluster", own)
+        todo = _leaders(group.join(label, "doc_id")).distinct() if k < ROUNDS else _across(label, packed, n, percent)
+        todo = written(todo.join(done, ["u", "v"], "left_anti"), "pairs")
+        if todo.head(1):
             more = written(confirm(todo, packed, n, percent), "confirmed")
             done = done.union(todo)
-            comp = components(label.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more))
-        if not leading:
-            break
-        leading = leading - 1 if found else 0
+            comp = components(stars.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more))
     label = comp.select(F.col("id").alias("rep"), "component")
     of = equal.join(label, "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     rows = signed.select("doc_id", "n_shingles", "h1", "h2").join(of, ["h1", "h2", "n_shingles"], "left")
