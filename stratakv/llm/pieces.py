@@ -331,10 +331,10 @@ def encode(docs: DataFrame, v: Vocabulary, check: bool = False) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "round_trip")]
     more = {"ids": F.array(F.lit(0)), "n_tokens": F.lit(0).cast("long")} | ({"round_trip": F.lit(True)} if check else {})
     fields = docs.select(*rest, *(c.alias(k) for k, c in more.items())).schema
-    shared = docs.sparkSession.sparkContext.broadcast(v)  # one vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(v))  # one vocabulary; a plain tuple, which workers read without this package
 
     def run(batches):
-        codec = Codec(shared.value)
+        codec = Codec(Vocabulary(*shared.value))
         for batch, data, off in texts(batches):
             ids, first = codec.encode(data, off)
             cols = [*(batch.column(c) for c in rest), _lists(ids, first), pa.array(np.diff(first))]
@@ -352,10 +352,10 @@ def decode(rows: DataFrame, v: Vocabulary) -> DataFrame:
     """rows with text instead of ids; null ids give an empty text."""
     rest = [c for c in rows.columns if c not in ("ids", "text")]
     fields = rows.select(*rest, F.lit("").alias("text")).schema
-    shared = rows.sparkSession.sparkContext.broadcast(v)  # one vocabulary
+    shared = rows.sparkSession.sparkContext.broadcast(tuple(v))  # as in encode()
 
     def run(batches):
-        codec = Codec(shared.value)
+        codec = Codec(Vocabulary(*shared.value))
         for batch in batches:
             col = batch.column("ids")
             flat = np.asarray(col.flatten(), np.int64)
