@@ -85,17 +85,31 @@ def repeat_words(hashes: Column, n: int = WINDOW) -> Column:
     return F.when(F.size(hashes) > n, let(wins, of)).otherwise(F.lit(0).cast("long"))
 
 
+def lines_of(text: str) -> Column:
+    """The lines that have a word."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def evaluated(df: DataFrame, *cols: Column) -> DataFrame:
+    """df with more columns, each evaluated once for a row.
+
+    A filter on a column of a projection is moved below it and evaluates the column's expression again, with
+    all that it refers to. Filters stay above a generator, so the columns are the one row of an inlined array.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*cols))))
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs plus the counts that the rules need, one output row for each input row."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     stop = list(dict.fromkeys(STOP_WORDS.split()))
-    own = ("n_words", "word_chars", "n_symbols", "n_exclaim", "n_stop", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "_w", "_l", "_h")
+    own = ("n_words", "word_chars", "n_symbols", "n_exclaim", "n_stop", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "_t", "_w", "_l", "_h")
     kept = [c for c in docs.columns if c.lower() not in own]
-    split = docs.select(*[f"`{c}`" for c in kept], words(F.col(text)).alias("_w"), lines.alias("_l"))
-    hashed = split.select("*", F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
-    return hashed.select(
-        *[f"`{c}`" for c in kept],
+    cols = [f"`{c}`" for c in kept]
+    split = evaluated(docs.select(*cols, F.col(text).alias("_t")), words(F.col("_t")).alias("_w"), lines_of("_t").alias("_l"))
+    hashed = evaluated(split, F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
+    t = F.coalesce("_t", F.lit(""))
+    return evaluated(
+        hashed,
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -104,7 +118,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("_h")).alias("n_repeat_words"),
-    )
+    ).drop("_t", "_w", "_l", "_h")
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
