@@ -14,9 +14,14 @@ from stratakv.llm import minhash, mixing, pieces, quality, substring
 from stratakv.llm.common import read, written
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """doc_id and text, with the whole row beside them, where no column's name can clash with an operator's."""
+    return docs.select("doc_id", "text", F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that fail a rule go."""
-    return quality.judge(docs).where("kept").select(docs.columns)
+    return quality.judge(apart(docs)).where("kept").select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +38,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that started earlier go; n_chars follows the text."""
-    out = substring.dedup(docs)
-    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
+    out = substring.dedup(apart(docs))
+    now = {"text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
+    return out.select(*[now.get(c, F.col("_row").getField(c).alias(c)) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 
-WORDING = r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|SPDX|Creative Commons|public domain|all rights reserved"
+WORDING = r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|SPDX|Creative Commons|public domain|all rights reserved|\bCC0\b"
 #: Lines without license wording that may lie inside a block; templates confirmed for a block.
 GAP, RANKED = 2, 4
 #: Share of a template's words that may differ.

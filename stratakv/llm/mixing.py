@@ -96,14 +96,15 @@ def emit(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     Rows are known by doc_id and a hash of their columns; equal rows share out their copies.
     """
     cols = [f"`{c}`" for c in docs.columns]
-    keyed = docs.select("*", F.coalesce("doc_id", F.lit(-1)).alias("_k"), F.xxhash64(*cols).alias("_h"))
-    sized = keyed.select("_k", "_h", F.col("_k").alias("doc_id"), "source", F.size(words(F.col(text))).cast("long").alias("size"))
+    size = F.size(words(F.col(text))).cast("long").alias("size")
+    keyed = docs.select(F.struct(*cols).alias("_row"), F.coalesce("doc_id", F.lit(-1)).alias("_k"), F.xxhash64(*cols).alias("_h"), F.col("source").alias("source"), size)
+    sized = keyed.select("_k", "_h", F.col("_k").alias("doc_id"), "source", "size")
     taken = mix(sized, ("_k", "_h"), **options).groupBy("_k", "_h").agg(F.sum("copies").alias("_c"), F.count("*").alias("_m"))
-    both = keyed.join(taken.where("_c > 0"), ["_k", "_h"])
+    both = keyed.select("_row", "_k", "_h").join(taken.where("_c > 0"), ["_k", "_h"])
     i = F.row_number().over(Window.partitionBy("_k", "_h").orderBy("_m")) - 1
     own = F.floor(F.col("_c") / F.col("_m")) + F.when(i < F.col("_c") % F.col("_m"), 1).otherwise(0)
-    times = both.select("*", own.cast("int").alias("_n")).where("_n > 0")
-    return times.select(*cols, F.explode(F.array_repeat(F.lit(1), F.col("_n"))).alias("_one")).select(*cols)
+    times = both.select("_row", own.cast("int").alias("_n")).where("_n > 0")
+    return times.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_n"))).alias("_one")).select("_row.*")
 
 
 SQL = f"""

@@ -12,7 +12,8 @@ documents is one counted key, and no group is expanded into pairs.
 
 Defined cases: null and blank texts have no words. A text shorter than the window is kept. Rows with null
 doc_id are kept whole and never make another row's words go. Rows that repeat a doc_id are one document: at
-equal starts neither is earlier. Extra columns pass through dedup(). An empty table gives an empty table.
+equal starts neither is earlier. Extra columns pass through dedup(); where one has the name of an output
+column, the output wins. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -120,9 +121,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, k: int = GRAM, digest: bool = F
     """
     gone = removals(docs.select("doc_id", "text"), length, k)
     by_doc = gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("_gone"))
-    rest = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept_sha256")]
     last = "kept_sha256" if digest else "text"
-    fields = docs.select(*rest, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias(last)).schema
+    rest = [f"`{c}`" for c in docs.columns if c.lower() not in ("text", "n_words", "n_removed", "kept_sha256")]
+    rows = docs.select(F.struct(*rest).alias("_row"), F.col("doc_id").cast("long").alias("_id"), "text", F.col("text").isNull().alias("_null"))
+    fields = rows.select("_row").schema.add("n_words", "long").add("n_removed", "long").add(last, "string")
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -144,12 +146,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, k: int = GRAM, digest: bool = F
                     out.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 else:
                     out.append(None if null else (b" ".join(words) if lost[-1] else raw).decode())
-            cols = [*(batch.column(c) for c in rest), pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(out, pa.string())]
+            cols = [batch.column("_row"), pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(out, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, fields.names)
 
-    text = packed(docs.select(*rest, "text", F.col("text").isNull().alias("_null")))
-    both = text.join(by_doc, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    return both.select(*rest, "z", "_null", "_gone").mapInArrow(run, fields)
+    both = packed(rows).join(by_doc, F.col("_id") == F.col("_doc"), "left")
+    return both.select("_row", "z", "_null", "_gone").mapInArrow(run, fields).select("_row.*", "n_words", "n_removed", last)
 
 
 SQL = f"""

@@ -195,10 +195,10 @@ def _order(t: dict[str, np.ndarray]) -> np.ndarray:
     return np.r_[zero, sampled][np.argsort(keys, kind="stable")]
 
 
-def _parts(rows: DataFrame):
+def _parts(rows: DataFrame, lead: int = LEAD):
     """rows dealt out by range of their first symbols, the parts in order."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, *(f"s{k}" for k in range(LEAD)))
+    return rows.repartitionByRange(parts, *(f"s{k}" for k in range(lead)))
 
 
 def _whole(batches) -> dict[str, np.ndarray] | None:
@@ -247,7 +247,8 @@ def repeats(strings: DataFrame, window: int) -> DataFrame:
             hit = at[np.r_[same, False] | np.r_[False, same]]
             yield pa.RecordBatch.from_arrays([pa.array(t["sid"][hit]), pa.array(t["i"][hit])], ["sid", "i"])
 
-    return _parts(_suffixes(levels[0], ranked, window)).mapInArrow(adjacent, "sid long, i int")
+    # Equal windows are to be in one part, so no symbol beyond them may tell parts apart.
+    return _parts(_suffixes(levels[0], ranked, window), min(LEAD, window)).mapInArrow(adjacent, "sid long, i int")
 
 
 def removals(docs: DataFrame, length: int = LENGTH, k: int = GRAM, block: int = BLOCK) -> DataFrame:
