@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from stratakv.llm.common import written
 from stratakv.llm.components import components
-from stratakv.llm.text import LOWER, Family, mix64, texts, word_spans
+from stratakv.llm.text import LOWER, SMALL, Family, mix64, texts, word_spans
 
 HALF, KEYS = 4, 20
 #: Rounds that link component leaders before the pairs left are searched.
@@ -75,7 +75,7 @@ def signatures(docs: DataFrame, n: int, half: int = HALF, keys: int = KEYS, text
 
     def run(batches):
         fam = Family(7)
-        for batch, data, off in texts(batches):
+        for batch, data, off in texts(batches, limit=SMALL):
             sets = shingles(data, off, n, fam)
             size = np.array([len(x) for x in sets], np.int64)
             full = [x for x in sets if len(x)]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from stratakv.llm.anchors import spans
 from stratakv.llm.common import written
-from stratakv.llm.text import Family, ranges, texts, word_spans
+from stratakv.llm.text import SMALL, Family, ranges, texts, word_spans
 
 LENGTH, GRAM = 20, 4
 
@@ -39,7 +39,7 @@ def seeds(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
 
     def run(batches):
         one, two = Family(21), Family(22)
-        for batch, data, off in texts(batches):
+        for batch, data, off in texts(batches, limit=SMALL):
             s, e, first = word_spans(data, off)
             w = one.span(one.of_bytes(data), s, e)
             found = spans((one, one.prefix(w)), (two, two.prefix(w)), first, length, k)

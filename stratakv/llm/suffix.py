@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from stratakv.llm.anchors import spans
 from stratakv.llm.common import written
 from stratakv.llm.substring import packed, repeated
-from stratakv.llm.text import Family, mix64, ranges, texts
+from stratakv.llm.text import SMALL, Family, mix64, ranges, texts
 
 LENGTH, GRAM, BLOCK = 200, 32, 8
 #: Symbols: 0 ends a string, bytes are 1..256, cores are above.
@@ -46,7 +46,7 @@ LEAD = 4
 def seeds(docs: DataFrame, length: int, k: int) -> DataFrame:
     def run(batches):
         one, two = Family(61), Family(62)
-        for batch, data, off in texts(batches):
+        for batch, data, off in texts(batches, limit=SMALL):
             f = spans((one, one.of_bytes(data)), (two, two.of_bytes(data)), off, length, k)
             doc = np.asarray(batch.column("doc_id"))[f.text] if len(f.text) else f.text
             cols = [f.key.view(np.int64), f.h.view(np.int64), doc, *(x.astype(np.int32) for x in (f.lo, f.n, f.at))]

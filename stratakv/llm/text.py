@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Text bytes worked on at once in a task; a longer text is one piece.
-PIECE = 2 << 20
+#: Text bytes worked on at once in a task; a longer text is one piece. Work that holds many numbers for each
+#: byte takes small pieces, whose arrays also stay in the processor's cache.
+PIECE, SMALL = 2 << 20, 1 << 18
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -98,11 +99,11 @@ def word_spans(data: np.ndarray, off: np.ndarray, spaces: np.ndarray = SPACES) -
     return s, e, np.searchsorted(s, off)
 
 
-def texts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def texts(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Pieces of the batches with bytes and offsets of their texts."""
     for batch in batches:
         data, off = utf8(batch.column(column))
-        for lo, hi in pieces(off):
+        for lo, hi in pieces(off, limit):
             yield batch.slice(lo, hi - lo), data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
 
 
