@@ -52,8 +52,12 @@ def seeds(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
 
 
 def repeated(seed: DataFrame) -> DataFrame:
-    """The spans whose anchor occurs again."""
-    again = seed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    """The spans whose anchor occurs again.
+
+    The keys are written first: a join of two plain shuffles can be split where a key is frequent, which one
+    that shares its shuffle with the count cannot.
+    """
+    again = written(seed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "again")
     return seed.join(again, "key")
 
 
@@ -105,10 +109,10 @@ def removals(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
     copies = found.join(kinds.where("c > 1").select("key", "h", "f"), ["key", "h"]).where(
         "doc_id > f.doc_id OR doc_id = f.doc_id AND lo > f.lo"
     ).select("doc_id", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi"))
-    several = kinds.groupBy("key").agg(F.count("*").alias("s")).where("s > 1").select("key")
+    several = written(kinds.groupBy("key").agg(F.count("*").alias("s")).where("s > 1").select("key"), "several")
     spots = kinds.join(several, "key").select("key", "f.doc_id", "f.lo", "n")
     wins = written(_windows(spots, docs, length), "windows")
-    firsts = wins.groupBy("key", "w").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("c")).where("c > 1")
+    firsts = written(wins.groupBy("key", "w").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("c")).where("c > 1"), "firsts")
     later = wins.join(firsts, ["key", "w"]).where("doc_id > f.doc_id OR doc_id = f.doc_id AND start > f.start")
     return copies.union(later.select("doc_id", F.col("start").alias("lo"), (F.col("start") + length).alias("hi")))
 

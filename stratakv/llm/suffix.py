@@ -259,11 +259,11 @@ def removals(docs: DataFrame, length: int = LENGTH, k: int = GRAM, block: int =
     copies = found.join(kinds.where("c > 1").select("key", "h"), ["key", "h"])
     gone = copies.select("doc_id", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi"))
 
-    several = kinds.groupBy("key").agg(F.count("*").alias("s")).where("s > 1").select("key")
+    several = written(kinds.groupBy("key").agg(F.count("*").alias("s")).where("s > 1").select("key"), "several")
     spots = kinds.join(several, "key").select("key", "f.doc_id", "f.lo", "n", "f.at")
     cut = written(blocks(spots, docs, length, block), "blocks")
     by = ["key", "j", "core"]
-    again = cut.groupBy(*by).agg(F.count("*").alias("r")).where("r > 1").select(*by)
+    again = written(cut.groupBy(*by).agg(F.count("*").alias("r")).where("r > 1").select(*by), "again")
     unlike = cut.join(again, by).groupBy(*by, "u").agg(F.count("*").alias("r"), F.any_value("lhs").alias("lhs"), F.any_value("rhs").alias("rhs"), F.any_value("n").alias("n"))
     unlike = written(unlike.select("*", F.monotonically_increasing_id().alias("sid")), "unlike")
     mixed = unlike.groupBy(*by).agg(F.count("*").alias("s")).where("s > 1").select(*by)
