@@ -266,7 +266,7 @@ def removals(docs: DataFrame, length: int = LENGTH, k: int = GRAM, block: int =
     again = written(cut.groupBy(*by).agg(F.count("*").alias("r")).where("r > 1").select(*by), "again")
     unlike = cut.join(again, by).groupBy(*by, "u").agg(F.count("*").alias("r"), F.any_value("lhs").alias("lhs"), F.any_value("rhs").alias("rhs"), F.any_value("n").alias("n"))
     unlike = written(unlike.select("*", F.monotonically_increasing_id().alias("sid")), "unlike")
-    mixed = unlike.groupBy(*by).agg(F.count("*").alias("s")).where("s > 1").select(*by)
+    mixed = written(unlike.groupBy(*by).agg(F.count("*").alias("s")).where("s > 1").select(*by), "mixed")
     middle = F.xxhash64(*by).bitwiseAND(F.lit((1 << 61) - 1)) + CORE
     strings = written(_strings(unlike.join(mixed, by).select("sid", "lhs", middle.alias("core"), "rhs")), "strings")
     runs = repeats(strings, block).groupBy("sid").agg(F.collect_set("i").alias("at"))
