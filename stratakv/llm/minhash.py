@@ -193,6 +193,7 @@ def _across(label: DataFrame, packed: DataFrame, n: int, percent: int) -> DataFr
     """
     size = label.groupBy("cluster", "component").agg(F.count("*").alias("c"))
     main = size.groupBy("cluster").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").select("cluster", "main")
+    main = written(main, "main")  # of known size: rows of a large cluster are not dealt out by cluster to meet it
     row = written(_tokens(label.join(main, "cluster").select("doc_id", "cluster", "component"), packed, n), "tokens")
     rare = row.groupBy("cluster", "token").agg(F.count("*").alias("df"))
     probe = row.join(main, "cluster").where("component <> main").join(rare, ["cluster", "token"])
