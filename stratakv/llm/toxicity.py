@@ -1,9 +1,10 @@
 """Toxicity: a logistic model on words, regularised by counterfactual swaps of identity terms.
 
-The model sees which words a text has. It is fitted on a bounded sample of labelled rows (max_rows of each
-class, chosen by hash). Each sampled text that names an identity group is paired with copies in which the
-term is swapped for the others of its kind, and the squared change of the log-odds is penalised. So a term
-that is merely frequent in toxic texts gets the weight of its kind, and neutral mentions are not flagged.
+The model sees which words, and beginnings of longer words, a text has. It is fitted on a bounded sample of
+labelled rows (max_rows of each class, chosen by hash). Each sampled text that names an identity group is
+paired with copies in which the term is swapped for the others of its kind, and the squared change of the
+log-odds is penalised. So a term that is merely frequent in toxic texts gets the weight of its kind, and
+neutral mentions are not flagged.
 
 Defined cases: null and empty texts score the base rate. Labels that are null or whose document is missing
 are not learned from; rows that repeat a label count again. Without labels of both classes every score is
@@ -19,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratakv.llm.text import LOWER, Family, texts, word_spans
+from stratakv.llm.text import LOWER, Family, mix64, texts, word_spans
 
 #: Sampled labelled rows of each class, and words kept as features.
 MAX_ROWS, MAX_WORDS = 3000, 600
 #: Least z-score of a word's share difference between the classes.
 LEAST_Z = 4.0
+#: Bytes of a longer word whose beginning is a feature too: compounds and inflected forms share it.
+BEGINNINGS = (5, 8)
 #: Strength of the ridge and of the counterfactual penalty.
 RIDGE, SWAP = 0.1, 10.0
 
@@ -54,10 +57,16 @@ class Model(NamedTuple):
 
 
 def _tokens(data: np.ndarray, off: np.ndarray, fam: Family) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of every word."""
+    """Hash and text number of every word, and of the beginnings of longer words after these."""
     data = LOWER[data]
     s, e, first = word_spans(data, off, EDGES)
-    return fam.span(fam.of_bytes(data), s, e), np.repeat(np.arange(len(off) - 1), np.diff(first))
+    h, text = fam.of_bytes(data), np.repeat(np.arange(len(off) - 1), np.diff(first))
+    out, of = [fam.span(h, s, e)], [text]
+    for n in BEGINNINGS:
+        longer = e - s > n
+        out.append(mix64(fam.span(h, s[longer], s[longer] + n) + np.uint64(n)))
+        of.append(text[longer])
+    return np.concatenate(out), np.concatenate(of)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -78,6 +87,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         fam = Family(31)
         for batch, data, off in texts(batches):
             h, text = _tokens(data, off, fam)
+            order = np.argsort(text, kind="stable")
+            h, text = h[order], text[order]
             words = [np.unique(h[a:b]).view(np.int64) for a, b in zip(np.searchsorted(text, range(len(off) - 1)), np.searchsorted(text, range(1, len(off))), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(words, pa.list_(pa.int64()))], ["toxic", "words"])
 
@@ -106,9 +117,12 @@ def fit_words(words: pa.ListArray, y: np.ndarray, share: float, ridge: float = R
     p = d / len(y)
     z = (d1 / n1 - (d - d1) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     best = np.argsort(-np.abs(z), kind="stable")[:MAX_WORDS]
-    terms = [[_hash(t) for t in line.split()] for line in IDENTITY]
+    terms = [[_hashes(t)[0] for t in line.split()] for line in IDENTITY]
     known = {int(t) for line in terms for t in line}
-    use = np.unique(np.concatenate([kind[best[np.abs(z[best]) >= LEAST_Z]], np.array(sorted(known), np.uint64)]))
+    # The beginning of a term would stand for the term where a swap does not reach it.
+    begun = np.concatenate([_hashes(t)[1:] for line in IDENTITY for t in line.split()])
+    chosen = np.setdiff1d(kind[best[np.abs(z[best]) >= LEAST_Z]], begun)
+    use = np.unique(np.concatenate([chosen, np.array(sorted(known), np.uint64)]))
     col = np.searchsorted(use, flat)
     hit = use[np.minimum(col, len(use) - 1)] == flat
     x = np.zeros((len(y), len(use) + 1))
@@ -139,9 +153,10 @@ def fit_words(words: pa.ListArray, y: np.ndarray, share: float, ridge: float = R
     return Model(float(bias), use, w[:-1])
 
 
-def _hash(word: str) -> np.uint64:
+def _hashes(word: str) -> np.ndarray:
+    """The word's hash and those of its beginnings."""
     data = np.frombuffer(word.lower().encode(), np.uint8)
-    return _tokens(data, np.array([0, len(data)]), Family(31))[0][0]
+    return _tokens(data, np.array([0, len(data)]), Family(31))[0]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
