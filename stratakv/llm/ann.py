@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by inner product with cross-polytope hashing.
 
-Vectors are turned to unit length with one more component, so that the largest inner product is the smallest
-angle (vectors of one length need no further component). In each table three rounds of random signs and a
-fast Hadamard transform stand in for a random rotation, and the nearest signed axis is the bucket; where
-buckets would hold more than `bucket` rows, a second rotation over fewer axes is appended. Queries probe the
-buckets of their nearest few axes in every table. All rows of a probed bucket are candidates and are ranked
-by exact inner products in double precision: buckets have no cap, large ones are dealt out in blocks.
+Vectors are hashed by direction within bands of length (a factor of sqrt(2) each): inside a band the largest
+inner products are at nearly the smallest angles, and a long vector changes nothing for the others. In each
+table three rounds of random signs and a fast Hadamard transform stand in for a random rotation, and the
+nearest signed axis is the bucket; where a band's buckets would hold more than `bucket` rows, a second
+rotation over fewer axes is appended. Queries probe the buckets of their nearest few axes in every table, for
+each number of axes that some band has; a band of at most `small` vectors is one bucket that every query
+probes. All rows of a probed bucket are candidates and are ranked by exact inner products in double
+precision: buckets have no cap, large ones are dealt out in blocks. A query that meets fewer than `top` rows
+is searched again among all.
 
 Equal vectors are searched once: a group keeps its `top` + 1 smallest ids, which is all that a result with
 `top` places can need, and equal queries share one search.
@@ -14,8 +17,8 @@ Recall against brute force, measured over the query set at top = 20: see README.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
 without vec_id. Only vectors with equally many components meet. Ties go to the smaller vec_id. Rows that
-repeat vec_id and vector count once. Queries with fewer candidates return all of them. Extra columns are
-ignored. An empty table gives an empty table.
+repeat vec_id and vector count once. Queries that fewer than `top` rows can meet return all of them. Extra
+columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from stratakv.llm.common import written
 TABLES, PROBES, TOP = 20, 6, 20
 #: Rows that a bucket should hold; rows and queries of a bucket that one task ranks at once.
 BUCKET, ROWS, QUERIES = 4096, 2048, 512
+#: Vectors of a band of lengths that all queries meet.
+SMALL = 512
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -67,37 +72,39 @@ def buckets(x: np.ndarray, table: int, axes: int, probes: int) -> np.ndarray:
     return np.take_along_axis(code, np.argsort(-total, axis=1, kind="stable")[:, :probes], 1)
 
 
-def _unit(vecs: np.ndarray, longest: float, lift: bool, query: bool) -> np.ndarray:
-    size = np.linalg.norm(vecs, axis=1, keepdims=True)
-    if not lift:
-        x = vecs / size
-    elif query:
-        x = np.hstack([vecs / size, np.zeros((len(vecs), 1))])
-    else:
-        x = np.hstack([vecs / longest, np.sqrt(np.maximum(0, 1 - (size / longest) ** 2))])
+def _unit(vecs: np.ndarray) -> np.ndarray:
+    x = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
     return np.pad(x, ((0, 0), (0, (1 << (x.shape[1] - 1).bit_length()) - x.shape[1])))
 
 
-def _hashed(vectors: DataFrame, axes: int, probes: int, longest: float, lift: bool, query: bool, tables: int) -> DataFrame:
-    """vectors once for each table and probe, with the bucket."""
-    fields = vectors.select(F.lit(0).cast("long").alias("bucket"), "*").schema
+def _hashed(vectors: DataFrame, probes: int, tables: int) -> DataFrame:
+    """vectors once for each table and probe, with the bucket; axes: signed axes of a row's second hash."""
+    fields = vectors.drop("axes").select(F.lit(0).cast("long").alias("bucket"), "*").schema
 
     def run(batches):
         for batch in batches:
-            col = batch.column("vec")
-            size = np.asarray(pa.compute.list_value_length(col))
-            for dim in np.unique(size):
-                some = batch.filter(pa.array(size == dim))
-                x = _unit(np.asarray(some.column("vec").flatten()).reshape(-1, dim), longest, lift, query)
+            size, second = np.asarray(pa.compute.list_value_length(batch.column("vec"))), np.asarray(batch.column("axes"))
+            for dim, axes in np.unique(np.stack([size, second]), axis=1).T.tolist():
+                some = batch.filter(pa.array((size == dim) & (second == axes))).select(fields.names[1:])
+                x = _unit(np.asarray(some.column("vec").flatten()).reshape(-1, dim))
                 for t in range(tables):
                     code = buckets(x, t, axes, probes)
                     for p in range(code.shape[1]):
-                        key = (code[:, p] * tables + t) * 100_003 + dim
+                        key = ((code[:, p] * tables + t) * 16 + axes.bit_length()) * 100_003 + dim
                         yield pa.RecordBatch.from_arrays([pa.array(key), *some.columns], fields.names)
 
     return vectors.mapInArrow(run, fields)
 
 
+def _bands(groups: DataFrame, bucket: int, small: int) -> DataFrame:
+    """dim, band and axes of each band of lengths; axes: signed axes of the second hash (1: none, 0: no hash either)."""
+    n = groups.groupBy("dim", "band").agg(F.count("*").alias("n"))
+    first = F.pow(F.lit(2.0), F.lit(1) + F.ceil(F.log2("dim"))).cast("long")
+    fill = F.floor(F.floor(F.col("n") / first) / bucket)
+    axes = F.least(first, F.when(fill > 0, F.pow(F.lit(2.0), F.length(F.bin(fill)))).otherwise(1).cast("long"))
+    return n.select("dim", "band", F.when(F.col("n") > small, axes).otherwise(0).alias("axes"))
+
+
 def _valid(table: DataFrame) -> DataFrame:
     vec = F.col("embedding").cast("array<double>")
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -107,24 +114,8 @@ def _valid(table: DataFrame) -> DataFrame:
     return rows.select("vec_id", plain.alias("vec")).select("*", F.xxhash64("vec").alias("k1"), F.xxhash64(F.reverse("vec"), F.lit(1)).alias("k2"))
 
 
-def search(table: DataFrame, every: int = 20, top: int = TOP, tables: int = TABLES, probes: int = PROBES, bucket: int = BUCKET) -> DataFrame:
-    """query_id, rank, vec_id, score: queries are the rows whose vec_id is divisible by `every`."""
-    rows = _valid(table)
-    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))
-    few = rows.dropDuplicates(["k1", "k2", "vec_id"]).select("*", nth.alias("nth")).where(F.col("nth") <= top + 1)
-    groups = few.groupBy("k1", "k2").agg(F.any_value("vec").alias("vec"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    groups = written(groups, "vectors")
-    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("k1").alias("q1"), F.col("k2").alias("q2"), "vec").dropDuplicates(["query_id", "q1", "q2"])
-    wanted = asked.groupBy("q1", "q2").agg(F.any_value("vec").alias("vec"))
-    size2 = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
-    n, low, high, dim = groups.agg(F.count("*"), F.min(size2), F.max(size2), F.max(F.size("vec"))).first()
-    lift = bool(n) and low < high * (1 - 1e-6)
-    longest = float(high or 1.0) ** 0.5 * (1 + 1e-12)
-    first = 2 << ((dim or 1) + lift - 1).bit_length()
-    axes = min(first, 1 << max(0, int((n // first) // bucket).bit_length()))
-
-    data = _hashed(groups.select("k1", "k2", "vec", F.col("ids")[0].alias("low")), axes, 1, longest, lift, False, tables)
-    probe = _hashed(wanted, axes, probes, longest, lift, True, tables)
+def _ranked(data: DataFrame, probe: DataFrame, top: int) -> DataFrame:
+    """q1, q2, k1, k2, score, low: of each block of a bucket, the `top` + 1 largest inner products of each query."""
     count = lambda df, per, name: df.groupBy("bucket").agg(F.ceil(F.count("*") / per).cast("int").alias(name))
     blocks = written(count(data, ROWS, "dn").join(count(probe, QUERIES, "qn"), "bucket"), "buckets")
     spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -144,7 +135,34 @@ def search(table: DataFrame, every: int = 20, top: int = TOP, tables: int = TABL
 
     by = ("bucket", "d", "q")
     near = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(rank, "q1 long, q2 long, k1 long, k2 long, low long, score double")
-    near = near.groupBy("q1", "q2", "k1", "k2").agg(F.max("score").alias("score"), F.min("low").alias("low"))
+    return near.groupBy("q1", "q2", "k1", "k2").agg(F.max("score").alias("score"), F.min("low").alias("low"))
+
+
+def search(table: DataFrame, every: int = 20, top: int = TOP, tables: int = TABLES, probes: int = PROBES, bucket: int = BUCKET, small: int = SMALL) -> DataFrame:
+    """query_id, rank, vec_id, score: queries are the rows whose vec_id is divisible by `every`."""
+    rows = _valid(table)
+    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))
+    few = rows.dropDuplicates(["k1", "k2", "vec_id"]).select("*", nth.alias("nth")).where(F.col("nth") <= top + 1)
+    groups = few.groupBy("k1", "k2").agg(F.any_value("vec").alias("vec"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    size2 = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    band = F.coalesce(F.greatest(F.lit(-4000), F.least(F.lit(4000), F.floor(F.log2(size2) + 0.5))), F.lit(-4000)).cast("int")
+    groups = written(groups.select("*", F.size("vec").alias("dim"), band.alias("band")), "vectors")
+    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("k1").alias("q1"), F.col("k2").alias("q2"), "vec").dropDuplicates(["query_id", "q1", "q2"])
+    wanted = asked.groupBy("q1", "q2").agg(F.any_value("vec").alias("vec")).select("*", F.size("vec").alias("dim"))
+    bands = written(_bands(groups, bucket, small), "bands")
+    hashed = bands.where("axes > 0").select("dim", "axes").distinct()
+    dealt = groups.join(bands, ["dim", "band"]).select("k1", "k2", "vec", F.col("ids")[0].alias("low"), "dim", "band", "axes")
+    whole = (-1 - F.col("dim") * F.lit(8192).cast("long") - (F.col("band") + 4000)).alias("bucket")
+    data = _hashed(dealt.where("axes > 0").drop("dim", "band"), 1, tables).unionByName(dealt.where("axes = 0").select(whole, "k1", "k2", "vec", "low"))
+    probe = _hashed(wanted.join(hashed, "dim").select("q1", "q2", "vec", "axes"), probes, tables)
+    probe = probe.unionByName(wanted.join(bands.where("axes = 0"), "dim").select(whole, "q1", "q2", "vec"))
+    near = written(_ranked(data, probe, top), "near")
+    # Places met by each query, its own among them; where these are too few and rows were hashed, all are ranked.
+    met = near.join(groups.select("k1", "k2", F.size("ids").alias("ids")), ["k1", "k2"]).groupBy("q1", "q2").agg(F.sum("ids").alias("met"))
+    short = wanted.join(hashed.select("dim").distinct(), "dim").join(met, ["q1", "q2"], "left").where(F.coalesce("met", F.lit(0)) <= top)
+    short = written(short.select(F.col("dim").cast("long").alias("bucket"), "q1", "q2", "vec"), "short")
+    rest = groups.select(F.col("dim").cast("long").alias("bucket"), "k1", "k2", "vec", F.col("ids")[0].alias("low"))
+    near = near.unionByName(_ranked(rest, short, top)).groupBy("q1", "q2", "k1", "k2").agg(F.max("score").alias("score"), F.min("low").alias("low"))
     of = Window.partitionBy("q1", "q2")
     near = near.select("*", F.row_number().over(of.orderBy(F.desc("score"), "low")).alias("n")).where(F.col("n") <= top + 1)
     ids = near.join(groups.select("k1", "k2", "ids"), ["k1", "k2"]).select("q1", "q2", "score", F.explode("ids").alias("vec_id"))

@@ -67,3 +67,25 @@ def test_query_over_the_small_table(spark):
     from stratakv.llm.queries import op2_nearest_neighbours
 
     assert op2_nearest_neighbours(spark, SMALL).columns == ["query_id", "rank", "vec_id", "score"]
+
+
+def recall(spark, rows, **options):
+    expect, got = brute([(i, v) for i, v, _ in rows]), found(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), **options))
+    assert all(len(got[q]) == len(expect[q]) for q in expect)
+    return sum(len({i for _, i in got[q]} & {i for _, i in expect[q]}) for q in expect) / sum(map(len, expect.values()))
+
+
+def test_long_vectors_do_not_hide_the_others(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for size in (np.where(np.arange(1500) == 7, 100.0, 1.0), np.exp(rng.normal(size=1500))):
+        rows = [(i, (v * s).tolist(), 0) for i, (v, s) in enumerate(zip(x, size, strict=True))]
+        assert recall(spark, rows, small=64) >= 0.9
+
+
+def test_queries_that_hashing_leaves_short(spark):
+    x = np.random.default_rng(3).normal(size=(60, 32))
+    assert recall(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]) == 1
+    # Two rows in nearly all buckets of a query: only a search of all rows fills its places.
+    assert recall(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)], small=0, tables=1, probes=1) >= 0.9
