@@ -5,7 +5,7 @@ inner products are at nearly the smallest angles, and a long vector changes noth
 table three rounds of random signs and a fast Hadamard transform stand in for a random rotation, and the
 nearest signed axis is the bucket; where a band's buckets would hold more than `bucket` rows, a second
 rotation over fewer axes is appended. Queries probe the buckets of their nearest few axes in every table, for
-each number of axes that some band has; a band of at most `small` vectors is one bucket that every query
+each number of axes that some band has, and more of them where there are more axes; a band of at most `small` vectors is one bucket that every query
 probes. All rows of a probed bucket are candidates and are ranked by exact inner products in double
 precision: buckets have no cap, large ones are dealt out in blocks. A query that meets fewer than `top` rows
 is searched again among all.
@@ -23,6 +23,8 @@ columns are ignored. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -33,6 +35,8 @@ from stratakv.llm.common import written
 TABLES, PROBES, TOP = 20, 6, 20
 #: Rows that a bucket should hold; rows and queries of a bucket that one task ranks at once.
 BUCKET, ROWS, QUERIES = 4096, 2048, 512
+#: Probes grow as this power of the second hash's axes, which keeps recall (see README). Codes compared at once.
+GROWTH, CODES = 0.85, 1 << 22
 #: Vectors of a band of lengths that all queries meet.
 SMALL = 512
 
@@ -63,6 +67,9 @@ def _nearest(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def buckets(x: np.ndarray, table: int, axes: int, probes: int) -> np.ndarray:
     """The first `probes` buckets of each unit vector; axes: signed axes of the second hash (1: none)."""
+    step = max(1, CODES // min(probes, 2 * x.shape[1]) // min(probes, axes))
+    if len(x) > step:
+        return np.concatenate([buckets(x[i : i + step], table, axes, probes) for i in range(0, len(x), step)])
     first, near = _nearest(_rotated(x, table, 0), probes)
     if axes == 1:
         return first
@@ -77,7 +84,7 @@ def _unit(vecs: np.ndarray) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, (1 << (x.shape[1] - 1).bit_length()) - x.shape[1])))
 
 
-def _hashed(vectors: DataFrame, probes: int, tables: int) -> DataFrame:
+def _hashed(vectors: DataFrame, query: bool, probes: int, tables: int) -> DataFrame:
     """vectors once for each table and probe, with the bucket; axes: signed axes of a row's second hash."""
     fields = vectors.drop("axes").select(F.lit(0).cast("long").alias("bucket"), "*").schema
 
@@ -87,8 +94,9 @@ def _hashed(vectors: DataFrame, probes: int, tables: int) -> DataFrame:
             for dim, axes in np.unique(np.stack([size, second]), axis=1).T.tolist():
                 some = batch.filter(pa.array((size == dim) & (second == axes))).select(fields.names[1:])
                 x = _unit(np.asarray(some.column("vec").flatten()).reshape(-1, dim))
+                near = math.ceil(probes * axes**GROWTH) if query else 1
                 for t in range(tables):
-                    code = buckets(x, t, axes, probes)
+                    code = buckets(x, t, axes, near)
                     for p in range(code.shape[1]):
                         key = ((code[:, p] * tables + t) * 16 + axes.bit_length()) * 100_003 + dim
                         yield pa.RecordBatch.from_arrays([pa.array(key), *some.columns], fields.names)
@@ -153,8 +161,8 @@ def search(table: DataFrame, every: int = 20, top: int = TOP, tables: int = TABL
     hashed = bands.where("axes > 0").select("dim", "axes").distinct()
     dealt = groups.join(bands, ["dim", "band"]).select("k1", "k2", "vec", F.col("ids")[0].alias("low"), "dim", "band", "axes")
     whole = (-1 - F.col("dim") * F.lit(8192).cast("long") - (F.col("band") + 4000)).alias("bucket")
-    data = _hashed(dealt.where("axes > 0").drop("dim", "band"), 1, tables).unionByName(dealt.where("axes = 0").select(whole, "k1", "k2", "vec", "low"))
-    probe = _hashed(wanted.join(hashed, "dim").select("q1", "q2", "vec", "axes"), probes, tables)
+    data = _hashed(dealt.where("axes > 0").drop("dim", "band"), False, 1, tables).unionByName(dealt.where("axes = 0").select(whole, "k1", "k2", "vec", "low"))
+    probe = _hashed(wanted.join(hashed, "dim").select("q1", "q2", "vec", "axes"), True, probes, tables)
     probe = probe.unionByName(wanted.join(bands.where("axes = 0"), "dim").select(whole, "q1", "q2", "vec"))
     near = written(_ranked(data, probe, top), "near")
     # Places met by each query, its own among them; where these are too few and rows were hashed, all are ranked.

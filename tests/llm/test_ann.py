@@ -89,3 +89,10 @@ def test_queries_that_hashing_leaves_short(spark):
     assert recall(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]) == 1
     # Two rows in nearly all buckets of a query: only a search of all rows fills its places.
     assert recall(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)], small=0, tables=1, probes=1) >= 0.9
+
+
+def test_recall_with_a_second_rotation(spark):
+    x = np.random.default_rng(4).normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    assert recall(spark, rows, bucket=1, small=0) >= 0.9  # 11 rows a bucket: 16 axes
