@@ -20,28 +20,34 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+CLAUSES = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES'
+GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
 #: Public license notices and opening terms.
 TEMPLATES = {
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
+    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.", GNU.format("Affero General Public License", 3)),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     ),
-    "BSD-2-Clause": ("Released under the BSD 2-Clause License.",),
+    "BSD": (BSD,),
+    "BSD-2-Clause": ("Released under the BSD 2-Clause License.", f"{BSD} {CLAUSES} {AS_IS}"),
     "BSD-3-Clause": (
         "Released under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        f"{BSD} {CLAUSES} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC0-1.0": ("Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", GNU.format("General Public License", 2)),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        GNU.format("General Public License", 3),
     ),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
+    "LGPL-2.1": (GNU.format("Lesser General Public License", 2.1),),
+    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.", GNU.format("Lesser General Public License", 3)),
     "MIT": (
         "Released under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
@@ -53,8 +59,10 @@ TEMPLATES = {
 WORDING = r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|SPDX|Creative Commons|public domain|all rights reserved|\bCC0\b"
 #: Lines without license wording that may lie inside a block; templates confirmed for a block.
 GAP, RANKED = 2, 4
-#: Share of a template's words that may differ.
+#: Share of a template's words that may differ; none of NAMES, and no word after VERSION.
 DIFFERENT = 0.1
+NAMES = {"affero", "lesser", "library", "gnu", "gpl", "lgpl", "agpl", "mit", "apache", "mozilla", "bsd", "neither", "endorse", "2-clause", "3-clause", "noncommercial", "sharealike", "noderivatives"}
+VERSION = {"version", "v"}
 #: A template must lower the compressed size by this share to be ranked.
 DROP = 0.15
 
@@ -78,6 +86,10 @@ def wording_of(text: str) -> list[str]:
     return re.findall(r"[^\W_]+(?:[.\-][^\W_]+)*", text.lower())
 
 
+def naming(words: list[str]) -> list[str]:
+    return [w for i, w in enumerate(words) if w in NAMES or i and words[i - 1] in VERSION and w[0].isdigit()]
+
+
 def differences(template: list[str], block: list[str]) -> tuple[int, int]:
     """Words of the template that the block lacks, and words that the block has among those it shares."""
     same = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
@@ -87,6 +99,12 @@ def differences(template: list[str], block: list[str]) -> tuple[int, int]:
     return len(template) - shared, same[-1].b + same[-1].size - same[0].b - shared
 
 
+def stretch(template: list[str], block: list[str]) -> list[str]:
+    """Words of the block from the first that it shares to the last."""
+    same = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
+    return block[same[0].b : same[-1].b + same[-1].size] if same else []
+
+
 class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]]):
         self.rows = []
@@ -116,7 +134,7 @@ class Scanner:
             name, template, _ = self.rows[i]
             missing, extra = differences(template, words)
             # Short notices differ in a word or two from those of other licenses: these must agree in all.
-            if missing + extra <= int(DIFFERENT * len(template)) * (len(template) >= 20):
+            if missing + extra <= int(DIFFERENT * len(template)) * (len(template) >= 20) and naming(stretch(template, words)) == naming(template):
                 rank = (missing + extra, -len(template), i)
                 best = min(best, (rank, name, drop, missing, extra)) if best else (rank, name, drop, missing, extra)
         return (best[1], best[2], best[3], best[4]) if best else (None, top, None, None)

@@ -38,3 +38,21 @@ def test_small_table_agrees_with_exact_search(spark):
         for name, wordings in licenses.TEMPLATES.items():
             if any(w in line for w in wordings for line in (text or "").split("\n") if len(line) < 2 * len(w)):
                 assert name in found.get(doc, set()), (doc, name)
+
+
+GPL3 = licenses.TEMPLATES["GPL-3.0"][1]
+BSD3 = licenses.TEMPLATES["BSD-3-Clause"][1]
+
+
+def names(text):
+    return [licenses.Scanner(licenses.TEMPLATES).best(text)[0]]
+
+
+def test_words_that_name_a_license_agree():
+    assert names(GPL3.replace("software:", "software;").replace("version 3", "version 2")) == ["GPL-2.0"]
+    assert names(GPL3.replace("GNU", "GNU Lesser")) == ["LGPL-3.0"]
+    assert names(GPL3.replace("GNU", "GNU Affero")) == ["AGPL-3.0"]
+    assert names(GPL3.replace("version 3", "version 4")) == [None]
+    assert names(BSD3) == ["BSD-3-Clause"]
+    assert names(BSD3[: BSD3.index("Neither")] + licenses.AS_IS) == ["BSD-2-Clause"]
+    assert names(licenses.BSD) == ["BSD"]
