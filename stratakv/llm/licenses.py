@@ -1,18 +1,25 @@
 """License scan by conditional compression.
 
-Candidate blocks are runs of lines with license wording. A block is compressed alone and once more with each
-template as a raw zstandard dictionary; the more a template explains of the block, the more the size drops.
-Templates are ranked by that drop, and the best few are confirmed by the exact differences in wording, so
-that texts which compress alike but name another license or version are told apart.
-
-Defined cases: null, empty and unlicensed texts have no row. Every block has a row; a block that no template
-explains has no license. Equal drops are ranked by name. Repeated rows are scanned one by one. Extra columns
+Candidate blocks are runs of lines with license wording. Each template is looked for among the words around the
+wording, as many on both sides as the longest template has, and confirmed by the exact differences in wording
+on a stretch of these words. The stretch is compressed alone and once more with the template as a raw
+zstandard dictionary; the drop is measured against what the template costs alone, so it does not depend on
+the words around. Among many words of prose the drop of a short notice is lost, so no template is dismissed
+for it; it ranks templates that differ equally, and says of a block without license how near it comes to one.
+Words that name a license or its version must agree in all.
+
+Defined cases: null, empty and unlicensed texts have no row. Every block has a row, and one for each license
+if several are confirmed on disjoint stretches, of which the longer go first; a block that no template
+explains has no license. Blocks that one stretch covers are one block, which reaches as far as the stretch.
+SPDX identifiers count as the licenses they name, without -only, -or-later and +. The opening sentence that
+BSD licenses share is BSD where the clauses do not follow. Repeated rows are scanned one by one. Extra columns
 are ignored. Whole texts are scanned, block by block. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -57,100 +64,150 @@ TEMPLATES = {
 }
 
 WORDING = r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|SPDX|Creative Commons|public domain|all rights reserved|\bCC0\b"
-#: Lines without license wording that may lie inside a block; templates confirmed for a block.
-GAP, RANKED = 2, 4
+#: Lines without license wording that may lie inside a block.
+GAP = 2
 #: Share of a template's words that may differ; none of NAMES, and no word after VERSION.
 DIFFERENT = 0.1
 NAMES = {"affero", "lesser", "library", "gnu", "gpl", "lgpl", "agpl", "mit", "apache", "mozilla", "bsd", "neither", "endorse", "2-clause", "3-clause", "noncommercial", "sharealike", "noderivatives"}
 VERSION = {"version", "v"}
-#: A template must lower the compressed size by this share to be ranked.
-DROP = 0.15
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([\w.+\-() \t]+)", re.I)
 
 FOUND = "doc_id long, first_line int, last_line int, license string, reduction double, n_missing int, n_extra int"
 
 
-def blocks(text: str, wording: re.Pattern) -> list[tuple[int, int, str]]:
-    """First line, last line and text of each block."""
-    lines = text.split("\n")
+def blocks(text: str, wording: re.Pattern) -> list[list[int]]:
+    """First and last line of each block."""
     out: list[list[int]] = []
-    for i, line in enumerate(lines):
+    for i, line in enumerate(text.split("\n")):
         if wording.search(line):
             if out and i - out[-1][1] <= GAP + 1:
                 out[-1][1] = i
             else:
                 out.append([i, i])
-    return [(a, b, "\n".join(lines[a : b + 1])) for a, b in out]
+    return out
+
+
+WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
 def wording_of(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+(?:[.\-][^\W_]+)*", text.lower())
+    return WORD.findall(text.lower())
 
 
 def naming(words: list[str]) -> list[str]:
     return [w for i, w in enumerate(words) if w in NAMES or i and words[i - 1] in VERSION and w[0].isdigit()]
 
 
-def differences(template: list[str], block: list[str]) -> tuple[int, int]:
-    """Words of the template that the block lacks, and words that the block has among those it shares."""
-    same = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
-    if not same:
-        return len(template), 0
-    shared = sum(m.size for m in same)
-    return len(template) - shared, same[-1].b + same[-1].size - same[0].b - shared
-
-
-def stretch(template: list[str], block: list[str]) -> list[str]:
-    """Words of the block from the first that it shares to the last."""
-    same = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
-    return block[same[0].b : same[-1].b + same[-1].size] if same else []
+def identifiers(expression: str) -> list[str]:
+    """The licenses of an SPDX expression, up to its first word that is no operator where one must be."""
+    out, operand = [], True
+    for x in re.findall(r"[\w.+\-]+", expression):
+        if x.upper() in ("AND", "OR", "WITH"):
+            operand = x.upper()
+        elif operand:
+            if operand != "WITH":
+                out.append(re.sub(r"(-only|-or-later|\+)$", "", x))
+            operand = False
+        else:
+            break
+    return out
 
 
 class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]]):
-        self.rows = []
+        self.plain = zstandard.ZstdCompressor(level=19, write_content_size=False)
+        self.rows, self.names = [], {n.lower(): n for n in templates}
         for name, wordings in sorted(templates.items()):
             for text in wordings:
-                shape = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.rows.append((name, wording_of(text), zstandard.ZstdCompressor(level=19, dict_data=shape, write_content_size=False)))
-        self.plain = zstandard.ZstdCompressor(level=19, write_content_size=False)
-        self.seen: dict[str, tuple] = {}
-
-    def best(self, block: str) -> tuple[str | None, float, int | None, int | None]:
-        if block not in self.seen:
-            if len(self.seen) >= 10_000:
-                self.seen.clear()
-            self.seen[block] = self._best(block)
-        return self.seen[block]
+                words = wording_of(text)
+                raw = " ".join(words).encode()
+                shape = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                pack = zstandard.ZstdCompressor(level=19, dict_data=shape, write_content_size=False)
+                self.rows.append((name, words, naming(words), len(self.plain.compress(raw)), pack))
+        self.longest = max((len(x[1]) for x in self.rows), default=0)
+        self.wording = re.compile(WORDING)
+
+    def stretches(self, template: list[str], names: list[str], words: list[str]):
+        """Start, end, missing and extra words of every stretch of words that is the template but for a few."""
+        # Short notices differ in a word or two from those of other licenses: these must agree in all.
+        few, words = int(DIFFERENT * len(template)) * (len(template) >= 20), list(words)
+        match = SequenceMatcher(None, autojunk=False)
+        match.set_seq2(template)
+        while True:
+            match.set_seq1(words)
+            at, where, size = match.find_longest_match()
+            # Of a template in few + 1 pieces or less, one piece has at least so many words.
+            if size < max(1, (len(template) - few) // (few + 1)):
+                return
+            low = max(0, at - where - few)
+            some = words[low : at - where + len(template) + few]
+            same = [m for m in SequenceMatcher(None, template, some, autojunk=False).get_matching_blocks() if m.size]
+            start, end, shared = low + same[0].b, low + same[-1].b + same[-1].size, sum(m.size for m in same)
+            missing, extra = len(template) - shared, end - start - shared
+            if missing + extra <= few and naming(words[start:end]) == names:
+                yield start, end, missing, extra
+            else:
+                start, end = at, at + size
+            words[start:end] = [""] * (end - start)
 
-    def _best(self, block: str):
-        raw = block.encode()
+    def drops(self, words: list[str], which) -> float:
+        """The largest share of its own cost that one of these templates saves of the words."""
+        raw = " ".join(words).encode()
         alone = len(self.plain.compress(raw))
-        drops = sorted(((1 - len(pack.compress(raw)) / alone, i) for i, (_, _, pack) in enumerate(self.rows)), key=lambda x: (-x[0], x[1]))
-        top = drops[0][0]
-        words, best = wording_of(block), None
-        for drop, i in drops[:RANKED]:
-            if drop < DROP:
-                break
-            name, template, _ = self.rows[i]
-            missing, extra = differences(template, words)
-            # Short notices differ in a word or two from those of other licenses: these must agree in all.
-            if missing + extra <= int(DIFFERENT * len(template)) * (len(template) >= 20) and naming(stretch(template, words)) == naming(template):
-                rank = (missing + extra, -len(template), i)
-                best = min(best, (rank, name, drop, missing, extra)) if best else (rank, name, drop, missing, extra)
-        return (best[1], best[2], best[3], best[4]) if best else (None, top, None, None)
+        return max(((alone - len(self.rows[i][4].compress(raw))) / self.rows[i][3] for i in which), default=0.0)
+
+    def scan(self, text: str) -> list[tuple]:
+        """First line, last line, license, drop, missing and extra words of all that is found."""
+        found = list(WORD.finditer(text))
+        words, starts = [m.group().lower() for m in found], [m.start() for m in found]
+        ends = [i for i, c in enumerate(text) if c == "\n"]
+        line = lambda at: bisect_left(ends, at)
+        regions: list[list[int]] = []
+        for m in self.wording.finditer(text):
+            a, b = max(0, bisect_right(starts, m.start()) - 1 - self.longest), min(len(words), bisect_left(starts, m.end()) + self.longest)
+            if regions and a <= regions[-1][1]:
+                regions[-1][1] = b
+            else:
+                regions.append([a, b])
+        hits = []
+        for a, b in regions:
+            for i, (name, template, names, *_) in enumerate(self.rows):
+                for start, end, missing, extra in self.stretches(template, names, words[a:b]):
+                    drop = self.drops(words[a + start : a + end], (i,))
+                    hits.append((missing + extra - (end - start), -drop, a + start, a + end, name, drop, missing, extra))
+        taken: list[tuple] = []  # first line, last line, license, drop, missing, extra
+        used: list[tuple[int, int]] = []
+        for _, _, start, end, name, drop, missing, extra in sorted(hits):
+            if all(end <= x or y <= start for x, y in used):
+                used.append((start, end))
+                taken.append((line(starts[start]), line(starts[end - 1]), name, drop, missing, extra))
+        for m in SPDX.finditer(text):
+            taken += [(line(m.start()), line(m.start()), self.names.get(x.lower(), x), 1.0, 0, 0) for x in identifiers(m.group(1))]
+        spans: list[list[int]] = []
+        for x in sorted([*blocks(text, self.wording), *([t[0], t[1]] for t in taken)]):
+            if spans and x[0] <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], x[1])
+            else:
+                spans.append(list(x))
+        out = []
+        for first, last in spans:
+            of = {}
+            for t in sorted((t for t in taken if first <= t[0] <= last), key=lambda t: (t[4] + t[5], t[0], -t[3])):
+                of.setdefault(t[2], t)
+            out += [(first, last, *t[2:]) for t in sorted(of.values(), key=lambda t: (t[0], t[2]))]
+            if not of:
+                lines = wording_of("\n".join(text.split("\n")[first : last + 1]))
+                out.append((first, last, None, self.drops(lines, range(len(self.rows))), None, None))
+        return out
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """One row for each block: its lines (from 0), the license confirmed, its drop and wording differences."""
+    """A row for each block and license: its lines (from 0), the license confirmed, the share of the template's cost that it saves, and wording differences."""
 
     def run(batches):
-        scanner, wording = Scanner(templates or TEMPLATES), re.compile(WORDING)
+        scanner = Scanner(templates or TEMPLATES)
         for batch in batches:
-            rows = [
-                (doc, a, b, *scanner.best(block))
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)
-                for a, b, block in blocks(text.as_py(), wording)
-            ]
+            rows = [(doc, *x) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True) for x in scanner.scan(text.as_py())]
             if rows:
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32()]
                 names = ["doc_id", "first_line", "last_line", "license", "reduction", "n_missing", "n_extra"]

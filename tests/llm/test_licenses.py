@@ -1,3 +1,5 @@
+import textwrap
+
 from stratakv.llm import licenses
 from tests.helpers import SMALL, rows
 
@@ -45,7 +47,7 @@ BSD3 = licenses.TEMPLATES["BSD-3-Clause"][1]
 
 
 def names(text):
-    return [licenses.Scanner(licenses.TEMPLATES).best(text)[0]]
+    return [x[2] for x in licenses.Scanner(licenses.TEMPLATES).scan(text)]
 
 
 def test_words_that_name_a_license_agree():
@@ -56,3 +58,13 @@ def test_words_that_name_a_license_agree():
     assert names(BSD3) == ["BSD-3-Clause"]
     assert names(BSD3[: BSD3.index("Neither")] + licenses.AS_IS) == ["BSD-2-Clause"]
     assert names(licenses.BSD) == ["BSD"]
+
+
+def test_notices_inside_prose_and_wrapped_or_two():
+    prose = " ".join(f"w{i * 7919 % 1000}ord" for i in range(200))
+    assert names(f"{prose} Released under the MIT License. {prose}") == ["MIT"]
+    for text, name in ((GPL3, "GPL-3.0"), (licenses.TEMPLATES["MIT"][1], "MIT")):
+        for width in (40, 70):
+            assert names("\n".join(textwrap.wrap(text, width))) == [name]
+    assert names("Released under the MIT License.\nLicensed under the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]
+    assert names("// SPDX-License-Identifier: GPL-2.0-or-later OR MIT") == ["GPL-2.0", "MIT"]
