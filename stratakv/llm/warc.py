@@ -28,8 +28,6 @@ MIN_BYTES = 1000
 #: Bytes of archive that one task scans, and that are read at once while scanning.
 RANGE, READ = 16 << 20, 1 << 20
 MAGIC = b"\x1f\x8b\x08"
-#: Decoded bytes after which a hit without the end of a WARC header is dismissed.
-HEAD = 1 << 16
 
 READ_BACK = "record_id string, record_type string, refers_to string, target_uri string, payload_bytes long, payload_digest string, payload binary, file string, at long"
 
@@ -123,7 +121,8 @@ def decode(source, at: int, buf: bytes, base: int, size: int):
             return None
         if head_end < 0:
             head_end = out.find(b"\r\n\r\n")
-            if not out.startswith(b"WARC/"[: len(out)]) or head_end < 0 and len(out) > HEAD:
+            # A header has any length: what begins as a record is read on to the end of its member.
+            if not out.startswith(b"WARC/"[: len(out)]):
                 return None
         if inflate.eof:
             break

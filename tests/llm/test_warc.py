@@ -64,3 +64,17 @@ def test_payloads_come_back_whole_over_small_ranges(spark, tmp_path):
     files = spark.createDataFrame(files.collect(), files.schema)
     back = warc.read(spark, files, span=1500)
     assert {int(r["record_id"]): bytes(r["payload"]).decode() for r in back.where("record_type = 'response'").collect()} == {i: t for i, _, t in pages}
+
+
+def test_long_url_at_the_edge_of_a_read():
+    rng = random.Random(5)
+    page = warc.record(1, "http://x/" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(200_000)), b"body", hashlib.sha1(b"body").hexdigest(), None)
+    for left in (20, 60_000, len(page) - 10):
+        body = bytes(rng.randrange(256) for _ in range(warc.READ - left))
+        before = warc.record(0, "u", body, hashlib.sha1(body).hexdigest(), None)
+        body = body[: len(body) - (len(before) - (warc.READ - left))]
+        before = warc.record(0, "u", body, hashlib.sha1(body).hexdigest(), None)
+        assert abs(warc.READ - left - len(before)) < 100
+        found = [at for at, _, _ in warc.scan(Source(before + page), 0, 10**9)]
+        assert found == [0, len(before)]
+        assert [at for at, _, _ in warc.scan(Source(before + page), 1, 10**9)] == [len(before)]
