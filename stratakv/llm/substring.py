@@ -11,9 +11,10 @@ when the words are removed. Seeds are counted before they are joined, so a passa
 documents is one counted key, and no group is expanded into pairs.
 
 Defined cases: null and blank texts have no words. A text shorter than the window is kept. Rows with null
-doc_id are kept whole and never make another row's words go. Rows that repeat a doc_id are one document: at
-equal starts neither is earlier. Extra columns pass through dedup(); where one has the name of an output
-column, the output wins. An empty table gives an empty table.
+doc_id are kept whole and never make another row's words go. Rows are told apart by doc_id and a hash of the
+text: rows equal in both are one document, and rows that share only the doc_id are documents of their own, in
+order of that hash. Extra columns pass through dedup(); where one has the name of
+an output column, the output wins. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,8 +35,13 @@ from stratakv.llm.text import SMALL, Family, ranges, texts, word_spans
 LENGTH, GRAM = 20, 4
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, row, text of the rows with an id; row is a hash of the text, since an id may repeat with other texts."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text").where("doc_id IS NOT NULL")
+
+
 def seeds(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
-    """key, h, doc_id, lo, n: each span's anchor, hash, document, first window and number of windows."""
+    """key, h, doc_id, row, lo, n: each span's anchor, hash, document, first window and number of windows."""
 
     def run(batches):
         one, two = Family(21), Family(22)
@@ -43,12 +49,11 @@ def seeds(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
             s, e, first = word_spans(data, off)
             w = one.span(one.of_bytes(data), s, e)
             found = spans((one, one.prefix(w)), (two, two.prefix(w)), first, length, k)
-            doc = np.asarray(batch.column("doc_id"))[found.text] if len(found.text) else found.text
-            cols = [found.key.view(np.int64), found.h.view(np.int64), doc, found.lo.astype(np.int32), found.n.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "h", "doc_id", "lo", "n"])
+            doc, row = (np.asarray(batch.column(c))[found.text] if len(found.text) else found.text for c in ("doc_id", "row"))
+            cols = [found.key.view(np.int64), found.h.view(np.int64), doc, row, found.lo.astype(np.int32), found.n.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "h", "doc_id", "row", "lo", "n"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
-    return rows.mapInArrow(run, "key long, h long, doc_id long, lo int, n int")
+    return keyed(docs).mapInArrow(run, "key long, h long, doc_id long, row long, lo int, n int")
 
 
 def repeated(seed: DataFrame) -> DataFrame:
@@ -77,13 +82,13 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def _windows(spots: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """key, w, doc_id, start: every window of the given spans (key, doc_id, lo, n) with its hash."""
+    """key, w, doc_id, row, start: every window of the given spans (key, doc_id, row, lo, n) with its hash."""
 
     def run(batches):
         one, two, unpack = Family(21), Family(22), zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for doc, z, spot in zip(batch.column("doc_id").to_pylist(), batch.column("z"), batch.column("spot"), strict=True):
+            for doc, row, z, spot in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("z"), batch.column("spot"), strict=True):
                 data = np.frombuffer(unpack.decompress(z.as_py()), np.uint8)
                 s, e, _ = word_spans(data, np.array([0, len(data)]))
                 h = two.prefix(one.span(one.of_bytes(data), s, e))
@@ -91,30 +96,29 @@ def _windows(spots: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                 start = ranges(lo.astype(np.int64), n.astype(np.int64))
                 fits = start + length < len(h)
                 key, start = np.repeat(key, n)[fits], start[fits]
-                out.append((key, two.span(h, start, start + length).view(np.int64), np.full(len(key), doc), start.astype(np.int32)))
+                out.append((key, two.span(h, start, start + length).view(np.int64), np.full(len(key), doc), np.full(len(key), row), start.astype(np.int32)))
             if out:
                 cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "w", "doc_id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "w", "doc_id", "row", "start"])
 
-    by_doc = spots.groupBy("doc_id").agg(F.collect_list(F.struct("key", "lo", "n")).alias("spot"))
-    text = packed(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL"))
-    return text.join(by_doc, "doc_id").select("doc_id", "z", "spot").mapInArrow(run, "key long, w long, doc_id long, start int")
+    by_doc = spots.groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "lo", "n")).alias("spot"))
+    both = packed(keyed(docs)).join(by_doc, ["doc_id", "row"])
+    return both.select("doc_id", "row", "z", "spot").mapInArrow(run, "key long, w long, doc_id long, row long, start int")
 
 
 def removals(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
-    """doc_id, lo, hi: words lo..hi-1 go. Stretches may overlap."""
+    """doc_id, row, lo, hi: words lo..hi-1 go. Stretches may overlap or repeat."""
     found = written(repeated(seeds(docs, length, k)), "seeds")
-    kinds = found.groupBy("key", "h").agg(F.min(F.struct("doc_id", "lo")).alias("f"), F.count("*").alias("c"), F.min("n").alias("n"))
+    kinds = found.groupBy("key", "h").agg(F.min(F.struct("doc_id", "row", "lo")).alias("f"), F.count("*").alias("c"), F.min("n").alias("n"))
     kinds = written(kinds, "spans")
-    copies = found.join(kinds.where("c > 1").select("key", "h", "f"), ["key", "h"]).where(
-        "doc_id > f.doc_id OR doc_id = f.doc_id AND lo > f.lo"
-    ).select("doc_id", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi"))
+    copies = found.join(kinds.where("c > 1").select("key", "h", "f"), ["key", "h"]).where(F.struct("doc_id", "row", "lo") > F.col("f"))
+    copies = copies.select("doc_id", "row", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi"))
     several = written(kinds.groupBy("key").agg(F.count("*").alias("s")).where("s > 1").select("key"), "several")
-    spots = kinds.join(several, "key").select("key", "f.doc_id", "f.lo", "n")
+    spots = kinds.join(several, "key").select("key", "f.doc_id", "f.row", "f.lo", "n")
     wins = written(_windows(spots, docs, length), "windows")
-    firsts = written(wins.groupBy("key", "w").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("c")).where("c > 1"), "firsts")
-    later = wins.join(firsts, ["key", "w"]).where("doc_id > f.doc_id OR doc_id = f.doc_id AND start > f.start")
-    return copies.union(later.select("doc_id", F.col("start").alias("lo"), (F.col("start") + length).alias("hi")))
+    firsts = written(wins.groupBy("key", "w").agg(F.min(F.struct("doc_id", "row", "start")).alias("f"), F.count("*").alias("c")).where("c > 1"), "firsts")
+    later = wins.join(firsts, ["key", "w"]).where(F.struct("doc_id", "row", "start") > F.col("f"))
+    return copies.union(later.select("doc_id", "row", F.col("start").alias("lo"), (F.col("start") + length).alias("hi")))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, k: int = GRAM, digest: bool = False) -> DataFrame:
@@ -124,10 +128,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, k: int = GRAM, digest: bool = F
     the words left, joined by one space.
     """
     gone = removals(docs.select("doc_id", "text"), length, k)
-    by_doc = gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("_gone"))
+    # A set: rows that repeat another one bring its stretches again.
+    by_doc = gone.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_of")).agg(F.collect_set(F.struct("lo", "hi")).alias("_gone"))
     last = "kept_sha256" if digest else "text"
     rest = [f"`{c}`" for c in docs.columns if c.lower() not in ("text", "n_words", "n_removed", "kept_sha256")]
-    rows = docs.select(F.struct(*rest).alias("_row"), F.col("doc_id").cast("long").alias("_id"), "text", F.col("text").isNull().alias("_null"))
+    rows = docs.select(F.struct(*rest).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h"), "text", F.col("text").isNull().alias("_null"))
     fields = rows.select("_row").schema.add("n_words", "long").add("n_removed", "long").add(last, "string")
 
     def run(batches):
@@ -153,7 +158,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, k: int = GRAM, digest: bool = F
             cols = [batch.column("_row"), pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(out, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, fields.names)
 
-    both = packed(rows).join(by_doc, F.col("_id") == F.col("_doc"), "left")
+    both = packed(rows).join(by_doc, (F.col("_id") == F.col("_doc")) & (F.col("_h") == F.col("_of")), "left")
     return both.select("_row", "z", "_null", "_gone").mapInArrow(run, fields).select("_row.*", "n_words", "n_removed", last)
 
 
