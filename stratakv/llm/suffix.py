@@ -1,24 +1,17 @@
 """Suffix-array dedup: bytes covered by a string of `length` bytes that also starts elsewhere are removed.
 
-Most bytes never reach the suffix sort. Anchors (anchors.py) show which windows can repeat at all; spans
-equal as a whole are repeats outright; and where spans over one anchor differ, their windows are cut into
-blocks of `block` alignments. The bytes that all windows of a block share, its core, are one symbol from
-here on: a block is the bytes left of the core, the core, and the bytes right of it, and each of its windows
-is `block` consecutive symbols. Blocks whose core occurs once hold no repeat; equal blocks are repeats.
+Whether a window repeats is decided by a suffix sort alone: a distributed difference-cover sort (sufsort.py)
+whose neighbours in the order are compared. What need not be sorted is left out before:
 
-What is left is a text over bytes and cores, in many short strings, for the difference-cover algorithm:
-
-1. positions not divisible by three are sampled, and their triples are sorted and named by rank;
-2. the names of each string make the string of the next level, until names cover a whole window;
-3. coming back, the remaining suffixes (first symbol, rank of the rest) are merged with the sampled ones:
-   rows are dealt out by range of their first symbols, and each part is merged on its own;
-4. on the first level, neighbours whose windows are equal are repeats.
-
-Triples are made distinct before they are sorted, so a frequent triple is one row.
+* Anchors (anchors.py) show which windows cannot repeat. Windows over an anchor that occurs once are not sorted.
+* Consecutive windows over one anchor are a span. Of spans that are equal as a whole, two are sorted and stand
+  for the rest: whatever is true of the windows of one is true of the same windows of all others. So a passage
+  that a third of all documents share is sorted twice, not once for each document.
 
 Defined cases: null and empty texts have no bytes. Rows without doc_id are kept whole and repeat nothing.
-Rows that repeat a doc_id and text repeat each other. Matches never cross documents. Extra columns are
-ignored. Texts of any length are used whole. An empty table gives an empty table.
+Rows are told apart by doc_id and a hash of the text; rows equal in both repeat each other, rows that share only
+the doc_id are judged each by its own text. Matches never cross documents. Extra columns are ignored. Texts of
+any length are used whole. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,266 +24,104 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratakv.llm import sufsort
 from stratakv.llm.anchors import spans
-from stratakv.llm.common import written
-from stratakv.llm.substring import packed, repeated
-from stratakv.llm.text import SMALL, Family, mix64, ranges, texts
+from stratakv.llm.common import discard, written
+from stratakv.llm.substring import keyed, packed, repeated
+from stratakv.llm.text import SMALL, Family, texts
 
-LENGTH, GRAM, BLOCK = 200, 32, 8
-#: Symbols: 0 ends a string, bytes are 1..256, cores are above.
-CORE = 1 << 10
-#: Leading symbols by which suffixes are dealt out for merging.
-LEAD = 4
+LENGTH, GRAM = 200, 64
 
 
 def seeds(docs: DataFrame, length: int, k: int) -> DataFrame:
+    """key, h, doc_id, row, lo, n: each span's anchor, hash, document, first window and number of windows."""
+
     def run(batches):
         one, two = Family(61), Family(62)
         for batch, data, off in texts(batches, limit=SMALL):
             f = spans((one, one.of_bytes(data)), (two, two.of_bytes(data)), off, length, k)
-            doc = np.asarray(batch.column("doc_id"))[f.text] if len(f.text) else f.text
-            cols = [f.key.view(np.int64), f.h.view(np.int64), doc, *(x.astype(np.int32) for x in (f.lo, f.n, f.at))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "h", "doc_id", "lo", "n", "at"])
+            doc, row = (np.asarray(batch.column(c))[f.text] if len(f.text) else f.text for c in ("doc_id", "row"))
+            cols = [f.key.view(np.int64), f.h.view(np.int64), doc, row, f.lo.astype(np.int32), f.n.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "h", "doc_id", "row", "lo", "n"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
-    return rows.mapInArrow(run, "key long, h long, doc_id long, lo int, n int, at int")
+    return keyed(docs).mapInArrow(run, "key long, h long, doc_id long, row long, lo int, n int")
 
 
-BLOCKS = "key long, j int, core long, u long, doc_id long, start int, n int, lhs binary, rhs binary"
+def _chunks(kinds: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """The stretches to be sorted: each kind's first and last span, cut out of their texts."""
+    # The first and last are one place where a whole row is repeated: the second copy is then a text of its own.
+    last = kinds.where("c > 1").select("g.*", "n", (F.col("f") == F.col("g")).cast("int").alias("copy"))
+    spots = kinds.select("f.*", "n", F.lit(0).alias("copy")).unionByName(last)
+    by_doc = spots.groupBy("doc_id", "row", "copy").agg(F.collect_list(F.struct("lo", "n")).alias("spot"))
+    text = packed(keyed(docs)).join(by_doc, ["doc_id", "row"])
+    # Rows that repeat another one are cut once.
+    once = text.groupBy("doc_id", "row", "copy").agg(F.any_value("z").alias("z"), F.any_value("spot").alias("spot"))
+    return sufsort.cut(once, length)
 
 
-def blocks(spots: DataFrame, docs: DataFrame, length: int, size: int) -> DataFrame:
-    """The blocks of the given spans: core, hash u of all the rest, first window, windows, bytes at both sides."""
+def _stretches(chunks: DataFrame, starts: DataFrame) -> DataFrame:
+    """doc_id, row, lo, hi: windows lo..hi-1 of a text repeat."""
 
     def run(batches):
-        two, unpack = Family(62), zstandard.ZstdDecompressor()
         for batch in batches:
-            for doc, z, spot in zip(batch.column("doc_id").to_pylist(), batch.column("z"), batch.column("spot"), strict=True):
-                data = np.frombuffer(unpack.decompress(z.as_py()), np.uint8)
-                key, lo, n, at = (np.asarray(spot.values.field(c)).astype(np.int64) for c in ("key", "lo", "n", "at"))
-                fits = lo + n - 1 + length <= len(data)
-                key, lo, n, at = key[fits], lo[fits], n[fits], at[fits]
-                near, far = at - (lo + n - 1), at - lo  # least and most bytes from a window's start to its anchor
-                many = far // size - near // size + 1
-                r, j = np.repeat(np.arange(len(key)), many), ranges(near // size, many)
-                at, d1, d2 = at[r], np.maximum(near[r], j * size), np.minimum(far[r], j * size + size - 1)
-                a, b = at - j * size, at - j * size - (size - 1) + length  # the core
-                h = two.of_bytes(data)
-                u = mix64(two.span(h, at - d2, at - d1 + length) ^ mix64((d1 * 4096 + d2).astype(np.uint64)))
-                sides = []
-                for x, y in ((at - d2, a), (b, at - d1 + length)):
-                    off = np.r_[0, np.cumsum(y - x)].astype(np.int32)
-                    sides.append(pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(off), pa.py_buffer(data[ranges(x, y - x)].tobytes())]))
-                cols = [key[r], j.astype(np.int32), two.span(h, a, b).view(np.int64), u.view(np.int64), np.full(len(r), doc), (at - d2).astype(np.int32), (d2 - d1 + 1).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *sides], ["key", "j", "core", "u", "doc_id", "start", "n", "lhs", "rhs"])
-
-    by_doc = spots.groupBy("doc_id").agg(F.collect_list(F.struct("key", "lo", "n", "at")).alias("spot"))
-    text = packed(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL"))
-    return text.join(by_doc, "doc_id").select("doc_id", "z", "spot").mapInArrow(run, BLOCKS)
-
-
-def _ragged(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values and bounds of a list column."""
-    size = np.asarray(pa.compute.list_value_length(col), np.int64)
-    return np.asarray(col.flatten(), np.int64), np.r_[0, np.cumsum(size)].astype(np.int64)
+            for r in batch.to_pylist():
+                p = np.unique(np.concatenate([sufsort.unpack(z, np.uint32)[0] for z in r["starts"]])).astype(np.int64)
+                first = np.asarray(r["first"], np.int64)
+                of = np.searchsorted(first, p, "right") - 1
+                new = np.flatnonzero(np.r_[True, (p[1:] != p[:-1] + 1) | (of[1:] != of[:-1])])
+                a, b, of = p[new], p[np.r_[new[1:], len(p)] - 1] + 1, of[new]
+                lo = np.asarray(r["lo"], np.int64)[of] - first[of]
+                cols = [np.asarray(r[c], np.int64)[of] for c in ("doc_id", "row")] + [(a + lo).astype(np.int32), (b + lo).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "row", "lo", "hi"])
 
+    both = chunks.select("chunk", "first", "doc_id", "row", "lo").join(starts, "chunk")
+    return both.mapInArrow(run, "doc_id long, row long, lo int, hi int")
 
-def _shifted(values: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
-    """The value k places on in the same row, 0 beyond its end."""
-    out = np.zeros(len(values), np.int64)
-    if k < len(values):
-        out[: len(values) - k] = np.where(row[: len(row) - k] == row[k:], values[k:], 0)
-    return out
 
-
-def _lists(values: np.ndarray, first: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, pa.int64()))
-
-
-def names(level: DataFrame) -> DataFrame:
-    """sid, s: each string's names of sampled triples, those at 1 mod 3, a 0, and those at 2 mod 3."""
-
-    def triples(batches):
-        for batch in batches:
-            s, first = _ragged(batch.column("s"))
-            row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            i = np.arange(len(s)) - first[row]
-            use = i % 3 != 0
-            sid = np.asarray(batch.column("sid"))[row[use]] if len(s) else s
-            cols = [sid, i[use].astype(np.int32), s[use], _shifted(s, row, 1)[use], _shifted(s, row, 2)[use]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["sid", "i", "a", "b", "c"])
-
-    def joined(batches):
-        for batch in batches:
-            out = []
-            for pairs in batch.column("pairs"):
-                i, name = (np.asarray(pairs.values.field(c)) for c in ("i", "name"))
-                i, name = i[np.argsort(i)], name[np.argsort(i)]
-                out.append(np.r_[name[i % 3 == 1], 0, name[i % 3 == 2]])
-            first = np.r_[0, np.cumsum([len(x) for x in out])]
-            yield pa.RecordBatch.from_arrays([batch.column("sid"), _lists(np.concatenate(out) if out else np.zeros(0, np.int64), first)], ["sid", "s"])
-
-    rows = level.mapInArrow(triples, "sid long, i int, a long, b long, c long")
-    parts = int(level.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kinds = rows.select("a", "b", "c").distinct().repartitionByRange(parts, "a", "b", "c").sortWithinPartitions("a", "b", "c")
-    # Parts are in order and so are the rows of each, so this number orders the triples.
-    named = written(kinds.select("*", (F.monotonically_increasing_id() + 1).alias("name")), "names")
-    of = rows.join(named, ["a", "b", "c"]).groupBy("sid").agg(F.collect_list(F.struct("i", "name")).alias("pairs"))
-    return written(of.mapInArrow(joined, "sid long, s array<long>"), "level")
-
-
-def _suffixes(level: DataFrame, ranked: DataFrame, window: int) -> DataFrame:
-    """A row for each suffix (or window start, if window is above 0) with all that merging compares."""
+def _offsets(kinds: DataFrame, stretches: DataFrame) -> DataFrame:
+    """key, h, a, b: of the spans of a kind, windows a..b-1 repeat."""
 
     def run(batches):
-        for batch in batches:
-            s, first = _ragged(batch.column("s"))
-            r, at = _ragged(batch.column("r"))
-            row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            i = np.arange(len(s)) - first[row]
-            ones = (np.diff(first) + 1) // 3  # sampled positions at 1 mod 3
-            where = at[row] + np.where(i % 3 == 1, i // 3, ones[row] + 1 + i // 3)
-            rank = np.where(i % 3 != 0, r[np.minimum(where, max(len(r) - 1, 0))], 0) if len(r) else np.zeros(len(s), np.int64)
-            lead = [_shifted(s, row, k) for k in range(max(LEAD, window))]
-            use = (i + window <= np.diff(first)[row]) if window else np.ones(len(s), bool)
-            key = np.zeros(len(s), np.uint64)
-            for x in lead[:window]:
-                key = mix64(key + mix64(x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
-            sid = np.asarray(batch.column("sid"))[row] if len(s) else s
-            cols = [sid, i.astype(np.int32), *lead[:LEAD], rank, _shifted(rank, row, 1), _shifted(rank, row, 2), key.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c[use]) for c in cols], ["sid", "i", *(f"s{k}" for k in range(LEAD)), "r0", "r1", "r2", "w"])
-
-    both = level.join(ranked.withColumnRenamed("s", "r"), "sid")
-    fields = ", ".join(["sid long, i int", *(f"s{k} long" for k in range(LEAD)), "r0 long, r1 long, r2 long, w long"])
-    return both.mapInArrow(run, fields)
-
-
-def _order(t: dict[str, np.ndarray]) -> np.ndarray:
-    """The merged order of the suffixes of one part.
-
-    Sampled suffixes are in order of their rank. One at 0 mod 3 compares with those at 1 by the first symbol
-    and the rank after it, with those at 2 by two symbols and the rank after them. Its place is the number
-    of suffixes of either kind before it, added up.
-    """
-    kind = t["i"] % 3
-    zero, one, two = (np.flatnonzero(kind == k) for k in (0, 1, 2))
-    zero = zero[np.lexsort((t["r1"][zero], t["s0"][zero]))]
-    sampled = np.r_[one, two]
-    sampled = sampled[np.argsort(t["r0"][sampled], kind="stable")]
-
-    def before(own: np.ndarray, other: np.ndarray, cols: tuple[str, ...]) -> np.ndarray:
-        """How many of other (in order) are below each of own (in order)."""
-        every = np.r_[own, other]
-        mine = np.r_[np.zeros(len(own), int), np.ones(len(other), int)]
-        at = np.lexsort((mine, *(t[c][every] for c in reversed(cols))))
-        below = np.cumsum(mine[at])
-        out = np.empty(len(every), np.int64)
-        out[at] = below
-        return out[: len(own)]
-
-    ones, twos = sampled[kind[sampled] == 1], sampled[kind[sampled] == 2]
-    place = before(zero, ones, ("s0", "r1")) + before(zero, twos, ("s0", "s1", "r2"))
-    place = np.maximum.accumulate(place) if len(place) else place
-    keys = np.r_[2 * place, 2 * np.arange(len(sampled)) + 1]
-    return np.r_[zero, sampled][np.argsort(keys, kind="stable")]
-
-
-def _parts(rows: DataFrame, lead: int = LEAD):
-    """rows dealt out by range of their first symbols, the parts in order."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, *(f"s{k}" for k in range(lead)))
-
-
-def _whole(batches) -> dict[str, np.ndarray] | None:
-    some = [b for b in batches if b.num_rows]
-    return {k: np.asarray(v.combine_chunks()) for k, v in zip(some[0].schema.names, pa.Table.from_batches(some).columns, strict=True)} if some else None
-
-
-def ranks(level: DataFrame, ranked: DataFrame) -> DataFrame:
-    """sid, s: the rank of every suffix of each string, given those of the sampled ones."""
-
-    def merged(batches):
-        t = _whole(batches)
-        if t is not None:
-            at = _order(t)
-            yield pa.RecordBatch.from_arrays([pa.array(t["sid"][at]), pa.array(t["i"][at])], ["sid", "i"])
-
-    def joined(batches):
         for batch in batches:
             out = []
-            for pairs in batch.column("pairs"):
-                i, r = (np.asarray(pairs.values.field(c)) for c in ("i", "r"))
-                out.append(r[np.argsort(i)])
-            first = np.r_[0, np.cumsum([len(x) for x in out])]
-            yield pa.RecordBatch.from_arrays([batch.column("sid"), _lists(np.concatenate(out) if out else np.zeros(0, np.int64), first)], ["sid", "s"])
-
-    order = _parts(_suffixes(level, ranked, 0)).mapInArrow(merged, "sid long, i int")
-    order = written(order.select("sid", "i", (F.monotonically_increasing_id() + 1).alias("r")), "ranks")
-    return written(order.groupBy("sid").agg(F.collect_list(F.struct("i", "r")).alias("pairs")).mapInArrow(joined, "sid long, s array<long>"), "level")
-
-
-def repeats(strings: DataFrame, window: int) -> DataFrame:
-    """sid, i: starts of windows of `window` symbols that start elsewhere too, from strings sid, s (s > 0)."""
-    levels, cover = [strings], 1
-    while cover < window:
-        levels.append(names(levels[-1]))
-        cover *= 3
-    ranked = levels.pop()  # its symbols are ranks by a whole window at least
-    while len(levels) > 1:
-        ranked = ranks(levels.pop(), ranked)
-
-    def adjacent(batches):
-        t = _whole(batches)
-        if t is not None:
-            at = _order(t)
-            same = t["w"][at][1:] == t["w"][at][:-1]
-            hit = at[np.r_[same, False] | np.r_[False, same]]
-            yield pa.RecordBatch.from_arrays([pa.array(t["sid"][hit]), pa.array(t["i"][hit])], ["sid", "i"])
-
-    # Equal windows are to be in one part, so no symbol beyond them may tell parts apart.
-    return _parts(_suffixes(levels[0], ranked, window), min(LEAD, window)).mapInArrow(adjacent, "sid long, i int")
-
-
-def removals(docs: DataFrame, length: int = LENGTH, k: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """doc_id, lo, hi: bytes lo..hi-1 go. Stretches may overlap."""
+            for spot, gone in zip(batch.column("spot"), batch.column("gone"), strict=True):
+                key, h, lo, n = (np.asarray(spot.values.field(c)) for c in ("key", "h", "lo", "n"))
+                x, y = (np.asarray(gone.values.field(c)).astype(np.int64) for c in ("lo", "hi"))
+                o = np.lexsort((y, x))
+                x, y = x[o], np.maximum.accumulate(y[o])
+                end = lo.astype(np.int64) + n
+                # The stretches that meet each span: those that end behind its start and begin before its end.
+                i, j = np.searchsorted(y, lo, "right"), np.searchsorted(x, end, "left")
+                many = np.maximum(j - i, 0)
+                r = np.repeat(np.arange(len(lo)), many)
+                s = np.repeat(i - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                a, b = np.maximum(x[s], lo[r]), np.minimum(y[s], end[r])
+                out.append((key[r], h[r], (a - lo[r]).astype(np.int32), (b - lo[r]).astype(np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "h", "a", "b"])
+
+    spots = kinds.groupBy("f.doc_id", "f.row").agg(F.collect_list(F.struct("key", "h", "f.lo", "n")).alias("spot"))
+    gone = stretches.groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("gone"))
+    return spots.join(gone, ["doc_id", "row"]).select("spot", "gone").mapInArrow(run, "key long, h long, a int, b int")
+
+
+def removals(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
+    """doc_id, row, lo, hi: bytes lo..hi-1 go. Stretches may overlap or repeat."""
     found = written(repeated(seeds(docs, length, k)), "seeds")
-    kinds = found.groupBy("key", "h").agg(F.min(F.struct("doc_id", "lo", "at")).alias("f"), F.count("*").alias("c"), F.min("n").alias("n"))
-    kinds = written(kinds, "spans")
-    copies = found.join(kinds.where("c > 1").select("key", "h"), ["key", "h"])
-    gone = copies.select("doc_id", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi"))
-
-    several = written(kinds.groupBy("key").agg(F.count("*").alias("s")).where("s > 1").select("key"), "several")
-    spots = kinds.join(several, "key").select("key", "f.doc_id", "f.lo", "n", "f.at")
-    cut = written(blocks(spots, docs, length, block), "blocks")
-    by = ["key", "j", "core"]
-    again = written(cut.groupBy(*by).agg(F.count("*").alias("r")).where("r > 1").select(*by), "again")
-    unlike = cut.join(again, by).groupBy(*by, "u").agg(F.count("*").alias("r"), F.any_value("lhs").alias("lhs"), F.any_value("rhs").alias("rhs"), F.any_value("n").alias("n"))
-    unlike = written(unlike.select("*", F.monotonically_increasing_id().alias("sid")), "unlike")
-    mixed = written(unlike.groupBy(*by).agg(F.count("*").alias("s")).where("s > 1").select(*by), "mixed")
-    middle = F.xxhash64(*by).bitwiseAND(F.lit((1 << 61) - 1)) + CORE
-    strings = written(_strings(unlike.join(mixed, by).select("sid", "lhs", middle.alias("core"), "rhs")), "strings")
-    runs = repeats(strings, block).groupBy("sid").agg(F.collect_set("i").alias("at"))
-    whole = F.col("r") > 1
-    some = unlike.select(*by, "u", "sid", "r", "n").join(runs, "sid", "left").where(whole | F.col("at").isNotNull())
-    hits = some.select(*by, "u", F.when(whole, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.col("at")).alias("at"))
-    ends = cut.join(hits, [*by, "u"]).select("doc_id", "start", F.explode("at").alias("i"))
-    return gone.union(ends.select("doc_id", F.col("start") + F.col("i"), F.col("start") + F.col("i") + length))
-
-
-def _strings(rows: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            lhs, core, rhs = batch.column("lhs").to_pylist(), batch.column("core").to_pylist(), batch.column("rhs").to_pylist()
-            out = [[*(x + 1 for x in a), c, *(x + 1 for x in b)] for a, c, b in zip(lhs, core, rhs, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(out, pa.list_(pa.int64()))], ["sid", "s"])
-
-    return rows.mapInArrow(run, "sid long, s array<long>")
+    at = F.struct("doc_id", "row", "lo")
+    kinds = written(found.groupBy("key", "h").agg(F.min(at).alias("f"), F.max(at).alias("g"), F.count("*").alias("c"), F.min("n").alias("n")), "spans")
+    chunks = _chunks(kinds, docs, length)
+    starts = sufsort.repeats(chunks, length)
+    offsets = written(_offsets(kinds, _stretches(chunks, starts)), "offsets")
+    discard(chunks, starts, kinds)
+    gone = found.join(offsets, ["key", "h"])
+    return gone.select("doc_id", "row", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b") + (length - 1)).alias("hi"))
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, k: int = GRAM, block: int = BLOCK) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left), kept_sha256 for every row."""
-    gone = removals(docs.select("doc_id", "text"), length, k, block)
-    by_doc = gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("_gone"))
+    gone = removals(docs.select("doc_id", "text"), length, k)
+    by_doc = gone.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_of")).agg(F.collect_set(F.struct("lo", "hi")).alias("_gone"))
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -312,6 +143,6 @@ def dedup(docs: DataFrame, length: int = LENGTH, k: int = GRAM, block: int = BLO
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    text = packed(docs.select(F.col("doc_id").cast("long"), "text"))
-    both = text.join(by_doc, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "z", "_gone")
+    text = packed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_row"), "text"))
+    both = text.join(by_doc, (F.col("doc_id") == F.col("_doc")) & (F.col("_row") == F.col("_of")), "left").select("doc_id", "z", "_gone")
     return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

@@ -2,7 +2,10 @@
 
 import hashlib
 
-from stratakv.llm import minhash, substring, suffix
+import numpy as np
+
+from stratakv.llm import minhash, substring, suffix, sufsort
+from stratakv.llm.common import written
 from stratakv.llm.components import components
 from tests.helpers import SMALL, rows
 from tests.llm import helpers as H
@@ -82,7 +85,6 @@ def test_suffix_dedup(spark):
 
 
 def test_suffix_dedup_of_shifted_copies(spark):
-    """Spans over one anchor that differ at both ends take the way through the suffix sort."""
     core = H.sentence(50, 60, 4000)
     docs = [(i, H.sentence(300 + i, 20, 4000) + core[i : len(core) - 3 * i] + H.sentence(400 + i, 20, 4000)) for i in range(30)]
     docs += [(100 + i, core[40 : 240 + i]) for i in range(12)]
@@ -90,12 +92,37 @@ def test_suffix_dedup_of_shifted_copies(spark):
     assert sorted(rows(found)) == sorted(H.repeated_bytes(docs))
 
 
-def test_suffix_order_is_that_of_sorted_windows(spark):
-    strings = [(0, [3, 1, 2, 3, 1, 2, 9, 9, 9, 9]), (1, [2, 3, 1, 2, 5]), (2, [7]), (3, [9, 9, 9, 9, 1])]
-    df = spark.createDataFrame(strings, "sid long, s array<long>")
-    for window in (2, 3, 4):
-        seen = {}
-        for sid, s in strings:
-            for i in range(len(s) - window + 1):
-                seen.setdefault(tuple(s[i : i + window]), []).append((sid, i))
-        assert sorted(set(rows(suffix.repeats(df, window)))) == sorted(x for v in seen.values() if len(v) > 1 for x in v)
+def test_suffix_dedup_over_many_chunks_and_parts(spark, monkeypatch):
+    """The small table, cut into chunks and parts of a few kilobytes, against brute force; and nothing goes without the sort."""
+    monkeypatch.setattr(sufsort, "CHUNK", 5000)
+    monkeypatch.setattr(sufsort, "PART", 4000)
+    df = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(rows(suffix.dedup(df), *cols)) == sorted(H.repeated_bytes(rows(df)))
+    sort = sufsort.repeats
+    monkeypatch.setattr(sufsort, "repeats", lambda chunks, length: written(sort(chunks, length).limit(0), "none"))
+    assert {r["n_removed"] for r in suffix.dedup(df).select("n_removed").collect()} == {0}
+
+
+def test_order_of_suffixes():
+    """The merged order of a chunk is that of its suffixes, also where they repeat and where they overlap."""
+    text = (H.sentence(1, 300, 9) + "ab" * 300 + H.sentence(1, 200, 9) + "a" * 500).encode()
+    c = sufsort.Chunk(text)
+    names = {k: np.arange(c.codes[k].max() + 1) for k in (3, 4, 5)}
+    p = sufsort.sample(4, c.ends[5] - 243)
+    p = p[p < c.n]
+    at = p[sufsort.order(c.rows(names, names[5][c.codes[5]], 4, p))]
+    heads = [c.raw[i : i + 243] for i in at.tolist()]
+    assert heads == sorted(heads)
+    assert all((p // 3**k % 3 > 0).all() for k in range(4))
+
+
+def test_rows_that_share_only_an_id(spark):
+    x, y = H.sentence(11, 60), H.sentence(12, 60)
+    docs = [(1, x), (5, x), (5, y), (6, H.sentence(13, 50)), (6, H.sentence(13, 50)), (None, x)]
+    df = spark.createDataFrame(docs, DOCS)
+    found = {(r["doc_id"], r["text"]): r["n_removed"] for r in substring.dedup(df).collect()}
+    assert found[5, y] == 0 and found[1, x] == 0 and found[6, docs[3][1]] == 0
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(rows(suffix.dedup(df.where("doc_id IS NOT NULL")), *cols)) == sorted(H.repeated_bytes(docs[:5]))
+    assert {r["n_removed"] for r in suffix.dedup(df).where("doc_id IS NULL").collect()} == {0}
