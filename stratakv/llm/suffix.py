@@ -65,11 +65,13 @@ def _stretches(chunks: DataFrame, starts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                p = np.unique(np.concatenate([sufsort.unpack(z, np.uint32)[0] for z in r["starts"]])).astype(np.int64)
+                a, n = (np.concatenate(x).astype(np.int64) for x in zip(*(sufsort.unpack(z, np.uint32, np.uint32) for z in r["starts"]), strict=True))
+                o = np.argsort(a, kind="stable")
+                a, b = a[o], np.maximum.accumulate((a + n)[o])
                 first = np.asarray(r["first"], np.int64)
-                of = np.searchsorted(first, p, "right") - 1
-                new = np.flatnonzero(np.r_[True, (p[1:] != p[:-1] + 1) | (of[1:] != of[:-1])])
-                a, b, of = p[new], p[np.r_[new[1:], len(p)] - 1] + 1, of[new]
+                of = np.searchsorted(first, a, "right") - 1
+                new = np.flatnonzero(np.r_[True, (a[1:] > b[:-1]) | (of[1:] != of[:-1])])
+                a, b, of = a[new], b[np.r_[new[1:], len(b)] - 1], of[new]
                 lo = np.asarray(r["lo"], np.int64)[of] - first[of]
                 cols = [np.asarray(r[c], np.int64)[of] for c in ("doc_id", "row")] + [(a + lo).astype(np.int32), (b + lo).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "row", "lo", "hi"])

@@ -20,7 +20,8 @@ not know each other.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from stratakv.llm.text import Family
 DEPTH, LEVELS = 243, (3, 4, 5)
 #: Text bytes of a chunk and of a part; suffixes sampled from a chunk, and chunks sampled.
 CHUNK, PART, SAMPLE, SAMPLED = 1 << 20, 2 << 20, 16, 1024
+#: Rounds in which level 3 is sorted.
+ROUNDS = 6
 #: Bytes at most from a window's start to the sample of level 3.
 REACH = 26
 
@@ -88,8 +91,13 @@ class Chunk:
                 six = six << 8 | y[p + i]
             c9 = dense(dense(six) << 24 | y[p + 6] << 16 | y[p + 7] << 8 | y[p + 8])
             c27 = self._triple(c9, nth(2, sample(3, self.ends[3])), 4)
-        c81 = self._triple(c27, nth(3, sample(4, self.ends[4])), 8)
-        self.codes = {3: c27, 4: c81, 5: self._triple(c81, nth(4, sample(5, self.ends[5])), 16)}
+        self.codes = {3: c27}
+
+    def deepen(self) -> Chunk:
+        """Adds the local names of levels 4 and 5."""
+        self.codes[4] = self._triple(self.codes[3], nth(3, sample(4, self.ends[4])), 8)
+        self.codes[5] = self._triple(self.codes[4], nth(4, sample(5, self.ends[5])), 16)
+        return self
 
     @staticmethod
     def _triple(c: np.ndarray, i: np.ndarray, step: int) -> np.ndarray:
@@ -173,7 +181,9 @@ def _exchange(emitted: DataFrame, merge, tag: str) -> DataFrame:
         return pa.table({"chunk": chunk, "part": t.column("part"), "z": pa.array([pack(x) for x in merge(z)], pa.binary())})
 
     back = emitted.groupBy("part").applyInArrow(part, "chunk long, part int, z binary")
-    return written(back.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "z"))).alias("back")), tag)
+    out = written(back.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "z"))).alias("back")), tag)
+    out.sparkSession._jvm.System.gc()  # lets go of this step's shuffles
+    return out
 
 
 def _shares(n: list[int], rank: np.ndarray) -> list[np.ndarray]:
@@ -241,6 +251,23 @@ def _spread(at: np.ndarray, n: int) -> np.ndarray:
 PAYLOAD = {**MERGED, "near": (np.uint8, 2 * REACH), "w": np.uint64, "lo": np.uint8, "hi": np.uint8, "p": np.uint32}
 
 
+def _agreeing(group: np.ndarray, texts: np.ndarray):
+    """A function of d: numbers that are equal for rows of a group whose first d bytes are equal."""
+    full = np.zeros((len(texts), -(-texts.shape[1] // 8) * 8), np.uint8)
+    full[:, : texts.shape[1]] = texts
+    words = full.view(">u8").astype(np.uint64)
+    at = np.lexsort((*words.T[::-1], group))
+    same = np.cumprod(texts[at[1:]] == texts[at[:-1]], axis=1).sum(axis=1)
+    agree = np.r_[-1, np.where(group[at[1:]] == group[at[:-1]], same, -1)]  # with the row before, in order
+
+    def of(d: int) -> np.ndarray:
+        out = np.empty(len(at), np.int64)
+        out[at] = np.cumsum(agree < d) - 1
+        return out
+
+    return of
+
+
 def repeated(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Rows (in any order) and the steps back from them at which a window begins that another row has too."""
     at = order(t)
@@ -263,19 +290,15 @@ def repeated(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         out_row.append(np.repeat(r, many))
         out_step.append(step)
 
-    # Larger groups: for each step, equal bytes before and after.
+    # Larger groups: for each step, rows that agree so far back and so far onward.
     big = np.flatnonzero(size[group] > 2)
     if len(big):
-        g, b, l, h = group[big], near[big], lo[big], hi[big]
-        ident = lambda cols: _ranked(cols) if len(cols) else np.zeros(len(big), np.int64)
-        before, after = [ident([])], [ident([])]
-        for i in range(REACH):
-            before.append(_ranked([before[-1], b[:, i]]))
-            after.append(_ranked([after[-1], b[:, REACH + i]]))
+        l, h = lo[big], hi[big]
+        before, after = _agreeing(group[big], near[big, :REACH]), _agreeing(group[big], near[big, REACH:])
         for d in range(REACH + 1):
             use = np.flatnonzero((l <= d) & (d <= h))
             if len(use) > 1:
-                key = _ranked([g[use], before[d][use], after[REACH - d][use]])
+                key = dense(before(d)[use] * len(big) + after(REACH - d)[use])
                 hit = use[np.bincount(key)[key] > 1]
                 out_row.append(big[hit])
                 out_step.append(np.full(len(hit), d))
@@ -300,18 +323,36 @@ def repeats(chunks: DataFrame, length: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(splitters)  # 243 bytes for each part
     core = length - REACH
 
+    def dealt(c: Chunk, at: np.ndarray, cols, cut: list[bytes], depth: int, row, parts: range):
+        edge = c.cuts(at, cut, depth)
+        parts = [i for i in np.flatnonzero(np.diff(edge)).tolist() if i in parts]
+        z = [pack(*(x[edge[i] : edge[i + 1]] for x in cols)) for i in parts]
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([row["chunk"]] * len(z), pa.int64()), pa.array(z, pa.binary())], ["part", "chunk", "z"])
+
     def emit(step: int, depth: int):
         def run(batches):
             cut = _truncated(shared.value, depth)
             for batch in batches:
                 for row in batch.to_pylist():
                     c = Chunk(zstandard.decompress(row["z"]), unpack(row["codes"], np.int32)[0])
+                    if step > 3:
+                        c.deepen()
                     got = {k: _names_of(row[f"back{k}"]) for k in LEVELS if row.get(f"back{k}") is not None}
                     at, cols = STEPS[step](c, got, row)
-                    edge = c.cuts(at, cut, depth)
-                    parts = np.flatnonzero(np.diff(edge)).tolist()
-                    z = [pack(*(x[edge[i] : edge[i + 1]] for x in cols)) for i in parts]
-                    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([row["chunk"]] * len(z), pa.int64()), pa.array(z, pa.binary())], ["part", "chunk", "z"])
+                    yield dealt(c, at, cols, cut, depth, row, range(len(cut) + 1))
+
+        return run
+
+    def emit_windows(parts: range):
+        def run(batches):
+            cut = _truncated(shared.value, core)
+            low = cut[parts.start - 1] if parts.start else None
+            high = cut[parts.stop - 1] if parts.stop <= len(cut) else None
+            for batch in batches:
+                for row in batch.to_pylist():
+                    c = Chunk(zstandard.decompress(row["z"]), unpack(row["codes"], np.int32)[0])
+                    at, cols = windows_of(c, {3: _names_of(row["back3"])}, row, low, high)
+                    yield dealt(c, at, cols, cut, core, row, parts)
 
         return run
 
@@ -332,19 +373,31 @@ def repeats(chunks: DataFrame, length: int) -> DataFrame:
         o = order(t)
         return at[o], [t[x][o] for x in MERGED]
 
-    def windows_of(c: Chunk, got, row):
-        of, at = _distinct_suffixes(c)
-        t = c.rows({4: got[4]}, got[5][c.codes[5]], 4, at)
-        ranks = _names_of(row["back6"])[_spread(order(t), len(at))][of]
-        # Places of level 3 that a window reaches, and the steps back from them to starts of windows.
-        mark = np.zeros(c.n + REACH + 2, np.int64)
-        start, many = np.asarray(row["first"], np.int64), np.asarray(row["many"], np.int64)
-        run = np.full(c.n + REACH + 2, -1, np.int64)
-        for a, m in zip(start.tolist(), many.tolist(), strict=True):
+    def ranks_of(batches):
+        """The rank of every place of level 4."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = Chunk(zstandard.decompress(row["z"]), unpack(row["codes"], np.int32)[0]).deepen()
+                of, at = _distinct_suffixes(c)
+                t = c.rows({4: _names_of(row["back4"])}, _names_of(row["back5"])[c.codes[5]], 4, at)
+                ranks = _names_of(row["back6"])[_spread(order(t), len(at))][of]
+                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([pack(ranks >> 32, ranks.astype(np.uint32))], pa.binary())], ["chunk", "ranks"])
+
+    def windows_of(c: Chunk, got, row, low: bytes | None, high: bytes | None):
+        """Level 3's places that windows reach, in order, of suffixes from about low to high."""
+        part, rank = unpack(row["ranks"], np.int64, np.uint32)
+        ranks = (part << 32) + rank
+        # Places that a window reaches, and the steps back from them to starts of windows.
+        mark, run = np.zeros(c.n + REACH + 2, np.int64), np.full(c.n + REACH + 2, -1, np.int64)
+        for a, m in zip(row["first"], row["many"], strict=True):
             run[a : a + m + REACH] = a
             mark[a : a + m + REACH] = a + m - 1
         p = sample(3, -(-c.n // 27) * 27)
-        p = p[p < c.n]
+        code, head = c.codes[3][: len(p)], c.first(3)
+        key = lambda t: c.raw[head[t] : head[t] + 27]
+        least = bisect_left(range(len(head)), low[:27], key=key) if low else 0
+        most = bisect_right(range(len(head)), high[:27], key=key) if high else len(head)
+        p = p[(code >= least) & (code < most) & (p < c.n)]
         p = p[run[p] >= 0]
         lo, hi = np.maximum(p - mark[p], 0), np.minimum(p - run[p], REACH)
         t = c.rows({3: got[3]}, ranks, 3, p)
@@ -355,7 +408,7 @@ def repeats(chunks: DataFrame, length: int) -> DataFrame:
         o = order(t)
         return p[o], [t[x][o] for x in PAYLOAD]
 
-    STEPS = {3: texts_of, 4: triples_of(3), 5: triples_of(4), 6: suffixes_of, 7: windows_of}
+    STEPS = {3: texts_of, 4: triples_of(3), 5: triples_of(4), 6: suffixes_of}
 
     base = chunks.select("chunk", "z", "codes", "first", "many")
     back: dict[int, DataFrame] = {}
@@ -368,20 +421,38 @@ def repeats(chunks: DataFrame, length: int) -> DataFrame:
         row, step = repeated({c: np.concatenate(x) for c, x in zip(PAYLOAD, zip(*some, strict=True), strict=True)})
         p = np.concatenate([x[-1] for x in some]).astype(np.int64)[row] - step
         of = np.searchsorted(np.cumsum(n), row, "right")
-        o = np.lexsort((p, of))
-        edge = np.searchsorted(of[o], np.arange(len(n) + 1))
         chunk = t.column("chunk").to_pylist()
-        found = [(chunk[i], pack(np.unique(p[o[edge[i] : edge[i + 1]]]).astype(np.uint32))) for i in range(len(n)) if edge[i] < edge[i + 1]]
+        o = np.argsort(of, kind="stable")
+        edge = np.searchsorted(of[o], np.arange(len(n) + 1))
+        found = [(chunk[i], pack(*_intervals(p[o[edge[i] : edge[i + 1]]]))) for i in range(len(n)) if edge[i] < edge[i + 1]]
         return pa.table({"chunk": pa.array([x[0] for x in found], pa.int64()), "z": pa.array([x[1] for x in found], pa.binary())})
 
-    last = _with(base, back, 7).mapInArrow(emit(7, core), EMITTED).groupBy("part").applyInArrow(hits, "chunk long, z binary")
-    out = written(last.groupBy("chunk").agg(F.collect_list("z").alias("starts")), "repeats")
-    discard(*back.values())
+    ranks = _with(base, back, 7).mapInArrow(ranks_of, "chunk long, ranks binary")
+    ranks = written(ranks, "ranks")
+    discard(*(back[k] for k in (4, 5, 6)))
+    rounds = []
+    for i in range(ROUNDS):
+        # Rounds bound what the shuffle holds at once: each sorts the windows of a part of the order.
+        own = range(parts * i // ROUNDS, parts * (i + 1) // ROUNDS)
+        if own:
+            both = _with(base, back, 4).join(ranks, "chunk")
+            last = both.mapInArrow(emit_windows(own), EMITTED).groupBy("part").applyInArrow(hits, "chunk long, z binary")
+            rounds.append(written(last, "repeats"))
+            spark._jvm.System.gc()  # lets go of the round's shuffle
+    out = written(reduce(DataFrame.union, rounds).groupBy("chunk").agg(F.collect_list("z").alias("starts")), "starts")
+    discard(back[3], ranks, *rounds)
     return out
 
 
+def _intervals(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First numbers and lengths of the runs of consecutive numbers in p."""
+    p = np.unique(p)
+    new = np.flatnonzero(np.r_[True, p[1:] != p[:-1] + 1])
+    return p[new].astype(np.uint32), np.diff(np.r_[new, len(p)]).astype(np.uint32)
+
+
 #: What each step needs of the steps before it.
-NEEDS = {3: (), 4: (3,), 5: (4,), 6: (4, 5), 7: (3, 4, 5, 6)}
+NEEDS = {3: (), 4: (3,), 5: (4,), 6: (4, 5), 7: (4, 5, 6)}
 
 
 def _with(base: DataFrame, back: dict[int, DataFrame], step: int) -> DataFrame:

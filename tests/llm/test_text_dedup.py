@@ -107,7 +107,7 @@ def test_suffix_dedup_over_many_chunks_and_parts(spark, monkeypatch):
 def test_order_of_suffixes():
     """The merged order of a chunk is that of its suffixes, also where they repeat and where they overlap."""
     text = (H.sentence(1, 300, 9) + "ab" * 300 + H.sentence(1, 200, 9) + "a" * 500).encode()
-    c = sufsort.Chunk(text)
+    c = sufsort.Chunk(text).deepen()
     names = {k: np.arange(c.codes[k].max() + 1) for k in (3, 4, 5)}
     p = sufsort.sample(4, c.ends[5] - 243)
     p = p[p < c.n]
