@@ -4,12 +4,16 @@ A text is escaped (blanks become U+2581, one is put in front) and cut into units
 up to the next blank. No piece reaches over such a cut, so units are encoded once each per task and reused.
 Units with equally many characters advance together, one column of a matrix at a time.
 
-Unigram models: Viterbi. For every end, the hashes of all substrings that end there probe the sorted piece
-keys; the best sum of scores and its start are kept as backpointers.
+Viterbi: for every end, the hashes of all substrings that end there probe the sorted piece keys. Each piece found
+extends the best path to its start; the maxima are kept with their starts as backpointers.
 
-BPE models: a best sum of scores is not what the model defines (its scores are merge ranks). There the batch
-repeats the model's own rule: of all neighbours whose joined piece exists, join the one of highest score,
-the leftmost of equals. Keys of joinable neighbours are probed the same way, by binary search.
+Unigram models: a path's score is the sum of its pieces' scores.
+
+BPE models, as the public vocabulary at hand is one, define no sum: their scores are ranks of joins, and a text's
+pieces are what joining the best neighbours again and again leaves. The same pieces are the only path on which
+every two neighbours, joined up from characters by themselves, stay apart. So a step scores 0 if the piece may
+follow the piece before it, else minus infinity; whether it may is read off the last joins of the two
+(follows()), once for each pair of pieces. Work is in proportion to the length of a unit, whatever its length.
 
 Characters without a piece become byte pieces where the model has them, else the unknown piece.
 
@@ -35,8 +39,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁".encode()
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Units that a task remembers before it starts afresh.
-REMEMBER = 400_000
+#: Units that a task remembers before it starts afresh; bits of the table of pairs of neighbours.
+REMEMBER, SLOTS = 400_000, 20
+#: Characters of a unit that advances alone, and of it looked up at once.
+LONG, STRETCH = 64, 1 << 15
 
 
 class Vocabulary(NamedTuple):
@@ -116,12 +122,14 @@ class Codec:
         self.bytes_known = bool((v.types == BYTE).any())
         chars = sorted((self._hash(s), i) for s, i in self.symbol.items() if len(s.decode()) == 1)
         self.char_key, self.char_id = np.array([h for h, _ in chars], np.uint64), np.array([i for _, i in chars])
-        if v.kind == BPE:
+        self.bpe = v.kind == BPE
+        self.asked, self.answer = np.full(1 << SLOTS, -1), np.zeros(1 << SLOTS, bool)
+        if self.bpe:
             self._pairs(ids)
-        else:
-            keys = sorted((self._hash(v.pieces[i]), i) for i in ids)
-            self.key, self.key_id = np.array([h for h, _ in keys], np.uint64), np.array([i for _, i in keys])
-            self.low = float(v.scores[ids].min()) - 10.0  # what an unknown character costs
+            ids = self._joins(ids)
+        keys = sorted((self._hash(v.pieces[i]), i) for i in ids)
+        self.key, self.key_id = np.array([h for h, _ in keys], np.uint64), np.array([i for _, i in keys])
+        self.low = float(v.scores[ids].min(initial=0)) - 10.0  # what an unknown character costs
         self.piece_bytes = [self._shown(i) for i in range(len(v.pieces))]
         self.piece_size = np.array([len(p) for p in self.piece_bytes])
         self.piece_at = np.cumsum(self.piece_size) - self.piece_size
@@ -148,11 +156,70 @@ class Codec:
                 a, b = self.symbol.get(text[:cut].encode()), self.symbol.get(text[cut:].encode())
                 if a is not None and b is not None:
                     found[a * self.width + b] = i
+        self.pairs = found
         self.pair = np.array(sorted(found), np.int64)
         self.joined = np.array([found[k] for k in self.pair.tolist()], np.int64)
         order = np.unique(-self.v.scores, return_inverse=True)[1]  # 0: the highest score
         self.place = order[self.joined] if len(self.joined) else self.joined
 
+    def _joins(self, ids: list[int]) -> list[int]:
+        """The last join of every symbol: its place by score (-1 for a character), its left and its right part.
+
+        Returns the pieces that joining their own characters makes; no text has another piece.
+        """
+        self.made = np.full(self.width, -1)
+        self.left, self.right = np.zeros(self.width, np.int64), np.zeros(self.width, np.int64)
+        place = dict(zip(self.joined.tolist(), self.place.tolist(), strict=True))
+        out = []
+        for i in ids:
+            parts = [self.symbol[c.encode()] for c in self.v.pieces[i].decode()]
+            a = b = -1
+            while len(parts) > 1:
+                found = [(place[j], k, j) for k in range(len(parts) - 1) if (j := self.pairs.get(parts[k] * self.width + parts[k + 1])) is not None]
+                if not found:
+                    break
+                _, k, j = min(found)
+                a, b = parts[k], parts[k + 1]
+                parts[k : k + 2] = [j]
+            if parts == [i]:
+                out.append(i)
+                if a >= 0:
+                    self.made[i], self.left[i], self.right[i] = place[i], a, b
+        for i in out:
+            if self.made[i] >= 0 and self.made[i] < max(self.made[self.left[i]], self.made[self.right[i]]):
+                raise ValueError(f"piece {i} is joined before its parts")
+        return out
+
+    def follows(self, u: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Whether symbols u and t, side by side, stay two symbols.
+
+        Their joins are taken back, latest first. Two symbols that meet where u and t do would have been
+        joined if that comes before the join just taken back; of equal joins the left one comes first.
+        """
+        ok, at = np.ones(len(u), bool), np.arange(len(u))
+        limit, mine = np.full(len(u), np.iinfo(np.int64).max), np.zeros(len(u), bool)
+        while len(at):
+            place = self._probe(self.pair, self.place, u * self.width + t, -1)
+            bad = (place >= 0) & ((place < limit) | (place == limit) & mine)
+            ok[at[bad]] = False
+            pu, pt = self.made[u], self.made[t]
+            go = ~bad & ((pu >= 0) | (pt >= 0))
+            at, u, t, pu, pt = at[go], u[go], t[go], pu[go], pt[go]
+            mine = pt >= pu
+            limit = np.where(mine, pt, pu)
+            u, t = np.where(mine, u, self.right[u]), np.where(mine, self.left[t], t)
+        return ok
+
+    def _may(self, u: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """follows(), with the last answer kept in each slot of a table."""
+        key = u * self.width + t
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int64)
+        out, new = self.answer[slot], np.flatnonzero(self.asked[slot] != key)
+        if len(new):
+            out[new] = self.follows(u[new], t[new])
+            self.asked[slot[new]], self.answer[slot[new]] = key[new], out[new]
+        return out
+
     def forget(self) -> None:
         self.known = np.zeros(0, np.uint64)
         self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -211,12 +278,12 @@ class Codec:
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(kind)
         for n in np.unique(length):
             rows = np.flatnonzero(length == n)
-            block = max(1, (1 << 20) // int(n))
+            block = max(1, (1 << 18) // int(n)) if n <= LONG else 1
             for lo in range(0, len(rows), block):
                 some = rows[lo : lo + block]
                 edge = begin[chars[a[some]][:, None] + np.arange(n + 1)]  # bytes where characters begin
                 edge[:, -1] = b[some]
-                sym = self._merge(h, edge) if self.v.kind == BPE else self._viterbi(h, edge)
+                sym = self._viterbi(h, edge) if n <= LONG else self._alone(h, edge[0])
                 for r, ids in zip(some.tolist(), self._named(raw, edge, *sym), strict=True):
                     out[r] = ids
         count = np.array([len(x) for x in out])
@@ -232,46 +299,39 @@ class Codec:
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[at] == wanted, values[at], none)
 
-    def _merge(self, h: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols left of each row, padded with -1, and the character each begins with."""
+    def _found(self, h: np.ndarray, edge: np.ndarray) -> list[np.ndarray]:
+        """For each length from 1 on, the symbol of every substring of so many characters by its start, -1 for none."""
         n = edge.shape[1] - 1
-        sym = self._probe(self.char_key, self.char_id, self.fam.span(h, edge[:, :-1].ravel(), edge[:, 1:].ravel()), self.width - 1).reshape(-1, n).astype(np.int64)
-        at = np.broadcast_to(np.arange(n), sym.shape).copy()
-        far = np.iinfo(np.int64).max
-        todo = np.arange(len(sym))
-        while n > 1 and len(todo):
-            s = sym[todo]
-            left, right = s[:, :-1], s[:, 1:]
-            where = np.minimum(np.searchsorted(self.pair, left * self.width + right), max(len(self.pair) - 1, 0))
-            hit = (self.pair[where] == left * self.width + right) & (right >= 0) if len(self.pair) else np.zeros(left.shape, bool)
-            place = np.where(hit, self.place[where] if len(self.pair) else 0, far)
-            best = place.argmin(axis=1)  # the leftmost of the highest
-            row = np.arange(len(todo))
-            ok = place[row, best] < far
-            todo, row, best = todo[ok], row[ok], best[ok]
-            if not len(todo):
-                break
-            s, p = s[row], at[todo]
-            s[np.arange(len(row)), best] = self.joined[where[row, best]]
-            col = np.arange(n)
-            src = np.minimum(col + (col > best[:, None]), n - 1)  # symbols after the joined one move up
-            s, p = np.take_along_axis(s, src, 1), np.take_along_axis(p, src, 1)
-            s[:, -1], p[:, -1] = -1, n
-            sym[todo], at[todo] = s, p
-        return sym, at
+        out = [self._probe(self.char_key, self.char_id, self.fam.span(h, edge[:, :-1].ravel(), edge[:, 1:].ravel()), self.width - 1).reshape(-1, n)]
+        for size in range(2, min(self.longest, n) + 1):
+            out.append(self._probe(self.key, self.key_id, self.fam.span(h, edge[:, :-size].ravel(), edge[:, size:].ravel()), -1).reshape(-1, n - size + 1))
+        return out
+
+    def _cost(self, piece: np.ndarray, size: int) -> np.ndarray:
+        """Scores of a unigram model's pieces; characters without a piece have the lowest."""
+        known = (piece >= 0) & (piece < len(self.v.pieces))
+        return np.where(known, self.v.scores[np.where(known, piece, 0)], self.low if size == 1 else -np.inf)
 
     def _viterbi(self, h: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same from the best sum of scores; of equal sums the one with the longer last piece."""
+        """Symbols of each row, padded with -1, and the character each begins with; of equal sums the longer last piece."""
         rows, n = len(edge), edge.shape[1] - 1
+        found = self._found(h, edge)
         best = np.full((rows, n + 1), -np.inf)
         best[:, 0] = 0
         back, piece = np.zeros((rows, n + 1), np.int64), np.full((rows, n + 1), self.width - 1)
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                found = self._probe(self.key, self.key_id, self.fam.span(h, edge[:, start], edge[:, end]), -1)
-                score = np.where(found >= 0, self.v.scores[found], self.low if end - start == 1 else -np.inf) + best[:, start]
-                up = score > best[:, end]
-                best[up, end], back[up, end], piece[up, end] = score[up], start, np.where(found >= 0, found, self.width - 1)[up]
+            for size in range(min(len(found), end), 0, -1):
+                start = end - size
+                step = found[size - 1][:, start]
+                if self.bpe:
+                    live = np.flatnonzero((step >= 0) & (best[:, end] < 0))
+                    if start and len(live):
+                        live = live[self._may(piece[live, start], step[live])]
+                    best[live, end], back[live, end], piece[live, end] = 0, start, step[live]
+                else:
+                    score = np.where(step >= 0, self._cost(step, size), -np.inf) + best[:, start]
+                    up = score > best[:, end]
+                    best[up, end], back[up, end], piece[up, end] = score[up], start, step[up]
         sym, at = np.full((rows, n), -1), np.full((rows, n), n)
         end, k = np.full(rows, n), n
         while (end > 0).any():
@@ -282,6 +342,40 @@ class Codec:
         order = np.argsort(sym < 0, axis=1, kind="stable")
         return np.take_along_axis(sym, order, 1), np.take_along_axis(at, order, 1)
 
+    def _alone(self, h: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """_viterbi() of one long unit: a stretch of pieces, and of pairs that meet, is looked up at once; ends advance one by one."""
+        n = len(edge) - 1
+        best, back, piece = [0.0] + [-np.inf] * n, [0] * (n + 1), [self.width - 1] * (n + 1)
+        for lo in range(0, n, STRETCH):
+            # Substrings that end in this stretch, and before it those that one of these can follow.
+            first, hi = max(0, lo - 2 * self.longest), min(n, lo + STRETCH)
+            cols = []
+            for size, step in enumerate(self._found(h, edge[None, first : hi + 1]), 1):
+                start = np.flatnonzero(step[0] >= 0)
+                known = step[0][start]
+                cols.append((start + size, np.full(len(start), size), known, np.zeros(len(start)) if self.bpe else self._cost(known, size)))
+            end, size, step, cost = (np.concatenate(c) for c in zip(*cols, strict=True))
+            order = np.lexsort((-size, end))
+            end, size, step, cost = end[order], size[order], step[order], cost[order]
+            may = None
+            if self.bpe:
+                least = np.searchsorted(end, np.arange(hi - first + 2))
+                many = (least[1:] - least[:-1])[end - size]
+                u = step[ranges(least[end - size], many)].astype(np.int64)
+                pair = np.unique(u * self.width + np.repeat(step, many))
+                may = set(pair[self.follows(pair // self.width, pair % self.width)].tolist())
+            own = np.flatnonzero(end + first > lo)
+            for e, k, t, c in zip((end[own] + first).tolist(), size[own].tolist(), step[own].tolist(), cost[own].tolist(), strict=True):
+                score = best[e - k] + c
+                if score > best[e] and (may is None or e == k or piece[e - k] * self.width + t in may):
+                    best[e], back[e], piece[e] = score, e - k, t
+        path, at = [], n
+        while at:
+            path.append((piece[at], back[at]))
+            at = back[at]
+        sym, at = np.array(path[::-1], np.int64).T
+        return sym[None], at[None]
+
     def _named(self, raw: np.ndarray, edge: np.ndarray, sym: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         """Symbols as ids; characters without a piece as byte pieces or unknown."""
         plain = (sym < len(self.v.pieces)).all(axis=1)

@@ -1,4 +1,5 @@
 import io
+import time
 
 import numpy as np
 import pytest
@@ -24,6 +25,29 @@ def test_ids_are_those_of_the_public_library():
     assert ids_of(pieces.vocabulary(), TEXTS) == [theirs.encode(t) for t in TEXTS]
 
 
+def test_any_neighbours_and_long_units_as_in_the_library():
+    """Pieces side by side, runs of equal letters, and units without blanks, short and long."""
+    theirs = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    v, rng = pieces.vocabulary(), np.random.default_rng(4)
+    shown = [p.decode().replace("▁", " ") for p in v.pieces[259:]]
+    texts = ["".join(shown[i] for i in rng.integers(0, len(shown), 3)) for _ in range(3000)]
+    texts += ["".join(rng.choice(list("abcdeé漢 0"), int(n))) for n in rng.integers(1, 90, 500)]
+    texts += [c * n for c in (" ", "a", "=", "-=", "the", "漢") for n in (1, 2, 3, 15, 16, 17, 31, 63, 64, 65, 200)]
+    texts += ["".join(rng.choice(list("ABCDefgh0123+/"), n)) for n in (63, 64, 65, 5000)]
+    assert ids_of(v, texts) == [theirs.encode(t) for t in texts]
+
+
+def test_a_megabyte_without_a_blank():
+    theirs = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    unit = "".join(np.random.default_rng(5).choice(list("abcdefghijklmnopqrstuvwxyzABCDEF012345+/"), 1 << 20))
+    took = []
+    for text in (unit[: 1 << 18], unit):
+        began = time.process_time()
+        assert ids_of(pieces.vocabulary(), [text]) == [theirs.encode(text)]
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 10  # in proportion to the length, which grew four times
+
+
 def test_documents_encode_as_in_the_library_and_back(spark):
     theirs = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
