@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratakv.llm.common import written
-from stratakv.llm.components import components
+from stratakv.llm.components import components, joined
 from stratakv.llm.text import LOWER, SMALL, Family, mix64, texts, word_spans
 
 HALF, KEYS = 4, 20
@@ -230,7 +230,7 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text",
         if todo.head(1):
             more = written(confirm(todo, packed, n, percent), "confirmed")
             done = done.union(todo)
-            comp = components(stars.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more))
+            comp = joined(stars, more)
     label = comp.select(F.col("id").alias("rep"), "component")
     of = equal.join(label, "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     rows = signed.select("doc_id", "n_shingles", "h1", "h2").join(of, ["h1", "h2", "n_shingles"], "left")

@@ -6,7 +6,7 @@ import numpy as np
 
 from stratakv.llm import minhash, substring, suffix, sufsort
 from stratakv.llm.common import written
-from stratakv.llm.components import components
+from stratakv.llm.components import components, joined
 from tests.helpers import SMALL, rows
 from tests.llm import helpers as H
 
@@ -63,6 +63,11 @@ def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(5, 5), (9, 300), (300, 9)]
     found = dict(rows(components(spark.createDataFrame(edges, "a long, b long"))))
     assert {found[i] for i in range(100, 161)} == {100} and {found[i] for i in range(200, 260)} == {7} and found[300] == 9
+    stars = spark.createDataFrame(list(found.items()), "id long, component long")
+    more = spark.createDataFrame([(160, 259), (400, 401), (300, 5)], "a long, b long")
+    after = dict(rows(joined(stars, more)))
+    assert {after[i] for i in [*range(100, 161), *range(200, 260), 7]} == {7} and after[401] == after[400] == 400
+    assert after[300] == after[9] == after[5] == 5 and len(after) == len(found) + 3
 
 
 def test_substring_dedup(spark):
