@@ -7,7 +7,7 @@ through all stages.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratakv.llm import minhash, mixing, pieces, quality, substring
@@ -25,15 +25,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group (five-word shingles, similarity 0.8) the document of smallest id stays.
+    """Of each near-duplicate group (five-word shingles, similarity 0.8) the row of smallest id stays.
 
-    Of rows that repeat an id one stays; rows without id cannot be grouped and stay.
+    Rows are numbered, so rows that share only an id are documents of their own; of rows that are equal in id
+    and text one stays. Rows without id come after all others.
     """
-    found = minhash.classes(docs, n=5, percent=80)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    same = Window.partitionBy("_id").orderBy(F.xxhash64(*docs.columns))
-    kept = docs.join(first, F.col("doc_id") == F.col("_id")).select("*", F.row_number().over(same).alias("_n")).where("_n = 1")
-    return kept.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    rows = written(docs.select(F.monotonically_increasing_id().alias("_n"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row")), "numbered")
+    found = minhash.classes(rows.select(F.col("_n").alias("doc_id"), "_row.text"), n=5, percent=80)
+    of = rows.select("_n", F.col("_row.doc_id").alias("_id")).join(found.select(F.col("doc_id").alias("_n"), "component_id"), "_n")
+    least = F.min(F.struct(F.col("_id").isNull(), "_id", "_n"))
+    return rows.join(of.groupBy("component_id").agg(least.alias("_f")).select("_f._n"), "_n", "left_semi").select("_row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
