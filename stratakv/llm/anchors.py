@@ -37,8 +37,9 @@ def least(values: np.ndarray, w: int) -> np.ndarray:
     return at
 
 
-def spans(seed: tuple[Family, np.ndarray], check: tuple[Family, np.ndarray], first: np.ndarray, length: int, k: int) -> Spans:
-    """seed, check: hash families with prefix hashes of all texts' symbols; first: where each text begins in these."""
+def spans(seed: tuple[Family, np.ndarray], check: tuple[Family, np.ndarray] | None, first: np.ndarray, length: int, k: int) -> Spans:
+    """seed, check: hash families with prefix hashes of all texts' symbols; first: where each text begins in these.
+    Without check, h is left out: keys alone, for counting."""
     size = np.diff(first)
     wins = np.maximum(size - length + 1, 0)
     if not wins.any():
@@ -51,4 +52,4 @@ def spans(seed: tuple[Family, np.ndarray], check: tuple[Family, np.ndarray], fir
     cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     lo, hi, at = start[cut], start[np.r_[cut[1:], len(start)] - 1], at[cut]
     text = np.searchsorted(first, lo, "right") - 1
-    return Spans(fam.span(h, at, at + k), check[0].span(check[1], lo, hi + length), text, lo - first[text], hi - lo + 1, at - first[text])
+    return Spans(fam.span(h, at, at + k), check[0].span(check[1], lo, hi + length) if check else at[:0], text, lo - first[text], hi - lo + 1, at - first[text])

@@ -40,8 +40,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text").where("doc_id IS NOT NULL")
 
 
-def seeds(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
-    """key, h, doc_id, row, lo, n: each span's anchor, hash, document, first window and number of windows."""
+def seeds(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """key, h, doc_id, row, lo, n: each span's anchor, hash, document, first window and number of windows; and key alone."""
 
     def run(batches):
         one, two = Family(21), Family(22)
@@ -53,16 +53,24 @@ def seeds(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
             cols = [found.key.view(np.int64), found.h.view(np.int64), doc, row, found.lo.astype(np.int32), found.n.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "h", "doc_id", "row", "lo", "n"])
 
-    return keyed(docs).mapInArrow(run, "key long, h long, doc_id long, row long, lo int, n int")
+    def keys(batches):
+        one = Family(21)
+        for _, data, off in texts(batches, limit=SMALL):
+            s, e, first = word_spans(data, off)
+            found = spans((one, one.prefix(one.span(one.of_bytes(data), s, e))), None, first, length, k)
+            yield pa.RecordBatch.from_arrays([pa.array(found.key.view(np.int64))], ["key"])
+
+    docs = keyed(docs)
+    return docs.mapInArrow(run, "key long, h long, doc_id long, row long, lo int, n int"), docs.select("text").mapInArrow(keys, "key long")
 
 
-def repeated(seed: DataFrame) -> DataFrame:
-    """The spans whose anchor occurs again.
+def repeated(seed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The spans whose anchor occurs again, from all spans and from their keys alone.
 
-    The keys are written first: a join of two plain shuffles can be split where a key is frequent, which one
-    that shares its shuffle with the count cannot.
+    The frequent keys are written first: a join of two plain shuffles can be split where a key is frequent, which
+    one that shares its shuffle with the count cannot.
     """
-    again = written(seed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "again")
+    again = written(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "again")
     return seed.join(again, "key")
 
 
@@ -108,7 +116,7 @@ def _windows(spots: DataFrame, docs: DataFrame, length: int) -> DataFrame:
 
 def removals(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
     """doc_id, row, lo, hi: words lo..hi-1 go. Stretches may overlap or repeat."""
-    found = written(repeated(seeds(docs, length, k)), "seeds")
+    found = written(repeated(*seeds(docs, length, k)), "seeds")
     kinds = found.groupBy("key", "h").agg(F.min(F.struct("doc_id", "row", "lo")).alias("f"), F.count("*").alias("c"), F.min("n").alias("n"))
     kinds = written(kinds, "spans")
     copies = found.join(kinds.where("c > 1").select("key", "h", "f"), ["key", "h"]).where(F.struct("doc_id", "row", "lo") > F.col("f"))

@@ -33,8 +33,8 @@ from stratakv.llm.text import SMALL, Family, texts
 LENGTH, GRAM = 200, 64
 
 
-def seeds(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """key, h, doc_id, row, lo, n: each span's anchor, hash, document, first window and number of windows."""
+def seeds(docs: DataFrame, length: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """key, h, doc_id, row, lo, n: each span's anchor, hash, document, first window and number of windows; and key alone."""
 
     def run(batches):
         one, two = Family(61), Family(62)
@@ -44,7 +44,13 @@ def seeds(docs: DataFrame, length: int, k: int) -> DataFrame:
             cols = [f.key.view(np.int64), f.h.view(np.int64), doc, row, f.lo.astype(np.int32), f.n.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "h", "doc_id", "row", "lo", "n"])
 
-    return keyed(docs).mapInArrow(run, "key long, h long, doc_id long, row long, lo int, n int")
+    def keys(batches):
+        one = Family(61)
+        for _, data, off in texts(batches, limit=SMALL):
+            yield pa.RecordBatch.from_arrays([pa.array(spans((one, one.of_bytes(data)), None, off, length, k).key.view(np.int64))], ["key"])
+
+    docs = keyed(docs)
+    return docs.mapInArrow(run, "key long, h long, doc_id long, row long, lo int, n int"), docs.select("text").mapInArrow(keys, "key long")
 
 
 def _chunks(kinds: DataFrame, docs: DataFrame, length: int) -> DataFrame:
@@ -109,10 +115,11 @@ def _offsets(kinds: DataFrame, stretches: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
     """doc_id, row, lo, hi: bytes lo..hi-1 go. Stretches may overlap or repeat."""
-    found = written(repeated(seeds(docs, length, k)), "seeds")
+    found = written(repeated(*seeds(docs, length, k)), "seeds")
     at = F.struct("doc_id", "row", "lo")
     kinds = written(found.groupBy("key", "h").agg(F.min(at).alias("f"), F.max(at).alias("g"), F.count("*").alias("c"), F.min("n").alias("n")), "spans")
     chunks = _chunks(kinds, docs, length)
+    docs.sparkSession._jvm.System.gc()  # lets go of shuffles that nothing refers to any more
     starts = sufsort.repeats(chunks, length)
     offsets = written(_offsets(kinds, _stretches(chunks, starts)), "offsets")
     discard(chunks, starts, kinds)

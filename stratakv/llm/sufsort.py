@@ -35,7 +35,7 @@ from stratakv.llm.text import Family
 #: Bytes that the last names cover, least window, and levels whose triples are sorted.
 DEPTH, LEVELS = 243, (3, 4, 5)
 #: Text bytes of a chunk and of a part; suffixes sampled from a chunk, and chunks sampled.
-CHUNK, PART, SAMPLE, SAMPLED = 1 << 20, 2 << 20, 16, 1024
+CHUNK, PART, SAMPLE, SAMPLED = 1 << 20, 1 << 19, 16, 1024
 #: Rounds in which level 3 is sorted.
 ROUNDS = 6
 #: Bytes at most from a window's start to the sample of level 3.
@@ -181,9 +181,7 @@ def _exchange(emitted: DataFrame, merge, tag: str) -> DataFrame:
         return pa.table({"chunk": chunk, "part": t.column("part"), "z": pa.array([pack(x) for x in merge(z)], pa.binary())})
 
     back = emitted.groupBy("part").applyInArrow(part, "chunk long, part int, z binary")
-    out = written(back.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "z"))).alias("back")), tag)
-    out.sparkSession._jvm.System.gc()  # lets go of this step's shuffles
-    return out
+    return written(back.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "z"))).alias("back")), tag)
 
 
 def _shares(n: list[int], rank: np.ndarray) -> list[np.ndarray]:
@@ -257,7 +255,8 @@ def _agreeing(group: np.ndarray, texts: np.ndarray):
     full[:, : texts.shape[1]] = texts
     words = full.view(">u8").astype(np.uint64)
     at = np.lexsort((*words.T[::-1], group))
-    same = np.cumprod(texts[at[1:]] == texts[at[:-1]], axis=1).sum(axis=1)
+    unlike = texts[at[1:]] != texts[at[:-1]]
+    same = np.where(unlike.any(axis=1), unlike.argmax(axis=1), texts.shape[1])
     agree = np.r_[-1, np.where(group[at[1:]] == group[at[:-1]], same, -1)]  # with the row before, in order
 
     def of(d: int) -> np.ndarray:
@@ -280,9 +279,8 @@ def repeated(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     # Pairs: how far they agree back from the sampled place and onward from the middle.
     a = np.flatnonzero(size[group[:-1]] == 2)
     a = a[group[a] == group[a + 1]]
-    agree = near[a] == near[a + 1]
-    back = np.cumprod(agree[:, :REACH], axis=1).sum(axis=1)
-    on = np.cumprod(agree[:, REACH:], axis=1).sum(axis=1)
+    unlike = near[a] != near[a + 1]
+    back, on = (np.where(x.any(axis=1), x.argmax(axis=1), REACH) for x in (unlike[:, :REACH], unlike[:, REACH:]))
     low, high = np.maximum.reduce([REACH - on, lo[a], lo[a + 1]]), np.minimum.reduce([back, hi[a], hi[a + 1]])
     many = np.maximum(high - low + 1, 0)
     step = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
@@ -323,8 +321,7 @@ def repeats(chunks: DataFrame, length: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(splitters)  # 243 bytes for each part
     core = length - REACH
 
-    def dealt(c: Chunk, at: np.ndarray, cols, cut: list[bytes], depth: int, row, parts: range):
-        edge = c.cuts(at, cut, depth)
+    def sent(edge: np.ndarray, cols, row, parts: range):
         parts = [i for i in np.flatnonzero(np.diff(edge)).tolist() if i in parts]
         z = [pack(*(x[edge[i] : edge[i + 1]] for x in cols)) for i in parts]
         return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([row["chunk"]] * len(z), pa.int64()), pa.array(z, pa.binary())], ["part", "chunk", "z"])
@@ -339,7 +336,7 @@ def repeats(chunks: DataFrame, length: int) -> DataFrame:
                         c.deepen()
                     got = {k: _names_of(row[f"back{k}"]) for k in LEVELS if row.get(f"back{k}") is not None}
                     at, cols = STEPS[step](c, got, row)
-                    yield dealt(c, at, cols, cut, depth, row, range(len(cut) + 1))
+                    yield sent(c.cuts(at, cut, depth), cols, row, range(len(cut) + 1))
 
         return run
 
@@ -351,8 +348,8 @@ def repeats(chunks: DataFrame, length: int) -> DataFrame:
             for batch in batches:
                 for row in batch.to_pylist():
                     c = Chunk(zstandard.decompress(row["z"]), unpack(row["codes"], np.int32)[0])
-                    at, cols = windows_of(c, {3: _names_of(row["back3"])}, row, low, high)
-                    yield dealt(c, at, cols, cut, core, row, parts)
+                    edge, cols = windows_of(c, {3: _names_of(row["back3"])}, row, low, high, cut)
+                    yield sent(edge, cols, row, parts)
 
         return run
 
@@ -383,30 +380,40 @@ def repeats(chunks: DataFrame, length: int) -> DataFrame:
                 ranks = _names_of(row["back6"])[_spread(order(t), len(at))][of]
                 yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([pack(ranks >> 32, ranks.astype(np.uint32))], pa.binary())], ["chunk", "ranks"])
 
-    def windows_of(c: Chunk, got, row, low: bytes | None, high: bytes | None):
-        """Level 3's places that windows reach, in order, of suffixes from about low to high."""
+    def windows_of(c: Chunk, got, row, low: bytes | None, high: bytes | None, cut: list[bytes]):
+        """Level 3's places that windows reach, by part, of suffixes from about low to high."""
         part, rank = unpack(row["ranks"], np.int64, np.uint32)
         ranks = (part << 32) + rank
         # Places that a window reaches, and the steps back from them to starts of windows.
-        mark, run = np.zeros(c.n + REACH + 2, np.int64), np.full(c.n + REACH + 2, -1, np.int64)
+        mark, run = np.zeros(c.n + REACH + 2, np.int32), np.full(c.n + REACH + 2, -1, np.int32)
         for a, m in zip(row["first"], row["many"], strict=True):
             run[a : a + m + REACH] = a
             mark[a : a + m + REACH] = a + m - 1
         p = sample(3, -(-c.n // 27) * 27)
         code, head = c.codes[3][: len(p)], c.first(3)
         key = lambda t: c.raw[head[t] : head[t] + 27]
-        least = bisect_left(range(len(head)), low[:27], key=key) if low else 0
-        most = bisect_right(range(len(head)), high[:27], key=key) if high else len(head)
-        p = p[(code >= least) & (code < most) & (p < c.n)]
-        p = p[run[p] >= 0]
-        lo, hi = np.maximum(p - mark[p], 0), np.minimum(p - run[p], REACH)
+        edges = [bisect_left(range(len(head)), s[:27], key=key) for s in cut]
+        least = edges[cut.index(low)] if low else 0
+        most = edges[cut.index(high)] + 1 if high else len(head)
+        use = np.flatnonzero((code >= least) & (code < most) & (p < c.n))
+        use = use[run[p[use]] >= 0]
+        use = use[np.argsort(code[use], kind="stable")]
+        p, code = p[use], code[use]
+        # The part follows from the first name, but for names that splitters begin with.
+        of = np.searchsorted(edges, code, "left")
+        for i in np.flatnonzero(np.isin(code, edges)).tolist():
+            of[i] = bisect_right(cut, c.raw[p[i] : p[i] + core])
+        o = np.argsort(of, kind="stable")
+        p, of = p[o], of[o]
         t = c.rows({3: got[3]}, ranks, 3, p)
-        near = np.concatenate([c.bytes[np.maximum(p[:, None] - 1 - np.arange(REACH), 0)], c.bytes[p[:, None] + core + np.arange(REACH)]], axis=1)
+        step = np.arange(REACH, dtype=np.int32)
+        p4 = p.astype(np.int32)[:, None]
+        near = np.concatenate([c.bytes[np.maximum(p4 - 1 - step, 0)], c.bytes[p4 + core + step]], axis=1)
         fam = Family(71)
         w = fam.span(fam.of_bytes(c.bytes), p, p + core)
+        lo, hi = np.maximum(p - mark[p], 0), np.minimum(p - run[p], REACH)
         t |= {"near": near, "w": w, "lo": lo.astype(np.uint8), "hi": hi.astype(np.uint8), "p": p.astype(np.uint32)}
-        o = order(t)
-        return p[o], [t[x][o] for x in PAYLOAD]
+        return np.searchsorted(of, np.arange(len(cut) + 2)), [t[x] for x in PAYLOAD]
 
     STEPS = {3: texts_of, 4: triples_of(3), 5: triples_of(4), 6: suffixes_of}
 
@@ -414,6 +421,7 @@ def repeats(chunks: DataFrame, length: int) -> DataFrame:
     back: dict[int, DataFrame] = {}
     for step, depth, merge in ((3, 27, _texts_merged), (4, 81, _triples_merged), (5, DEPTH, _triples_merged), (6, DEPTH, _suffixes_merged)):
         back[step] = _exchange(_with(base, back, step).mapInArrow(emit(step, depth), EMITTED), merge, f"names{step}")
+        spark._jvm.System.gc()  # lets go of the step's shuffles, which nothing refers to any more
 
     def hits(t: pa.Table) -> pa.Table:
         some = [unpack(z, *PAYLOAD.values()) for z in t.column("z").to_pylist()]
@@ -427,18 +435,14 @@ def repeats(chunks: DataFrame, length: int) -> DataFrame:
         found = [(chunk[i], pack(*_intervals(p[o[edge[i] : edge[i + 1]]]))) for i in range(len(n)) if edge[i] < edge[i + 1]]
         return pa.table({"chunk": pa.array([x[0] for x in found], pa.int64()), "z": pa.array([x[1] for x in found], pa.binary())})
 
-    ranks = _with(base, back, 7).mapInArrow(ranks_of, "chunk long, ranks binary")
-    ranks = written(ranks, "ranks")
+    ranks = written(_with(base, back, 7).mapInArrow(ranks_of, "chunk long, ranks binary"), "ranks")
     discard(*(back[k] for k in (4, 5, 6)))
+    # Rounds bound what the shuffle holds at once: each sorts the windows of a part of the order.
     rounds = []
     for i in range(ROUNDS):
-        # Rounds bound what the shuffle holds at once: each sorts the windows of a part of the order.
-        own = range(parts * i // ROUNDS, parts * (i + 1) // ROUNDS)
-        if own:
-            both = _with(base, back, 4).join(ranks, "chunk")
-            last = both.mapInArrow(emit_windows(own), EMITTED).groupBy("part").applyInArrow(hits, "chunk long, z binary")
-            rounds.append(written(last, "repeats"))
-            spark._jvm.System.gc()  # lets go of the round's shuffle
+        if own := range(parts * i // ROUNDS, parts * (i + 1) // ROUNDS):
+            rounds.append(written(_with(base, back, 4).join(ranks, "chunk").mapInArrow(emit_windows(own), EMITTED).groupBy("part").applyInArrow(hits, "chunk long, z binary"), "repeats"))
+            spark._jvm.System.gc()
     out = written(reduce(DataFrame.union, rounds).groupBy("chunk").agg(F.collect_list("z").alias("starts")), "starts")
     discard(back[3], ranks, *rounds)
     return out
