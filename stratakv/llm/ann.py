@@ -3,11 +3,13 @@
 Vectors are hashed by direction within bands of length (a factor of sqrt(2) each): inside a band the largest
 inner products are at nearly the smallest angles, and a long vector changes nothing for the others. In each
 table three rounds of random signs and a fast Hadamard transform stand in for a random rotation, and the
-nearest signed axis is the bucket; where a band's buckets would hold more than `bucket` rows, a second
-rotation over fewer axes is appended. Queries probe the buckets of their nearest few axes in every table, for
+nearest signed axis is the bucket; where a band's buckets would hold more than `bucket` rows, further
+rotations are appended, the last one over fewer axes. Queries probe the buckets of their nearest few axes in every table, for
 each number of axes that some band has, and more of them where there are more axes; a band of at most `small` vectors is one bucket that every query
-probes. All rows of a probed bucket are candidates and are ranked by exact inner products in double
-precision: buckets have no cap, large ones are dealt out in blocks. A query that meets fewer than `top` rows
+probes. All rows of a probed bucket are candidates and are ranked by inner products in double precision: buckets
+have no cap, large ones are dealt out in blocks. Those of a block that may be among the nearest are summed again,
+component by component, so that a pair has one score wherever it meets and ties are ties. Vectors travel in the
+precision that the table has. A query that meets fewer than `top` rows
 is searched again among all.
 
 Equal vectors are searched once: a group keeps its `top` + 1 smallest ids, which is all that a result with
@@ -29,10 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from stratakv.llm.common import written
+from stratakv.llm.common import discard, written
 
 TABLES, PROBES, TOP = 20, 6, 20
+#: Tables that are searched at once.
+ROUND = 5
 #: Rows that a bucket should hold; rows and queries of a bucket that one task ranks at once.
 BUCKET, ROWS, QUERIES = 4096, 2048, 512
 #: Probes grow as this power of the second hash's axes, which keeps recall (see README). Codes compared at once.
@@ -66,26 +71,31 @@ def _nearest(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def buckets(x: np.ndarray, table: int, axes: int, probes: int) -> np.ndarray:
-    """The first `probes` buckets of each unit vector; axes: signed axes of the second hash (1: none)."""
-    step = max(1, CODES // min(probes, 2 * x.shape[1]) // min(probes, axes))
+    """The first `probes` buckets of each unit vector; axes: signed axes of all hashes after the first (1: none)."""
+    most = 2 * x.shape[1]
+    step = max(1, CODES // min(probes, most) // min(probes, most, axes))
     if len(x) > step:
         return np.concatenate([buckets(x[i : i + step], table, axes, probes) for i in range(0, len(x), step)])
-    first, near = _nearest(_rotated(x, table, 0), probes)
-    if axes == 1:
-        return first
-    second, also = _nearest(_rotated(x, table, 1)[:, : axes // 2], probes)
-    total = (near[:, :, None] + also[:, None, :]).reshape(len(x), -1)
-    code = (first[:, :, None] * axes + second[:, None, :]).reshape(len(x), -1)
-    return np.take_along_axis(code, np.argsort(-total, axis=1, kind="stable")[:, :probes], 1)
+    code, total = _nearest(_rotated(x, table, 0), probes)
+    part = 0
+    while axes > 1:
+        own, part = min(axes, most), part + 1
+        second, also = _nearest(_rotated(x, table, part)[:, : own // 2], probes)
+        total = (total[:, :, None] + also[:, None, :]).reshape(len(x), -1)
+        code = (code[:, :, None] * own + second[:, None, :]).reshape(len(x), -1)
+        best = np.argsort(-total, axis=1, kind="stable")[:, :probes]
+        code, total, axes = np.take_along_axis(code, best, 1), np.take_along_axis(total, best, 1), axes // own
+    return code
 
 
 def _unit(vecs: np.ndarray) -> np.ndarray:
-    x = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    x = vecs.astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
     return np.pad(x, ((0, 0), (0, (1 << (x.shape[1] - 1).bit_length()) - x.shape[1])))
 
 
-def _hashed(vectors: DataFrame, query: bool, probes: int, tables: int) -> DataFrame:
-    """vectors once for each table and probe, with the bucket; axes: signed axes of a row's second hash."""
+def _hashed(vectors: DataFrame, query: bool, probes: int, tables: range) -> DataFrame:
+    """vectors once for each table and probe, with the bucket; axes: signed axes of a row's further hashes."""
     fields = vectors.drop("axes").select(F.lit(0).cast("long").alias("bucket"), "*").schema
 
     def run(batches):
@@ -95,36 +105,39 @@ def _hashed(vectors: DataFrame, query: bool, probes: int, tables: int) -> DataFr
                 some = batch.filter(pa.array((size == dim) & (second == axes))).select(fields.names[1:])
                 x = _unit(np.asarray(some.column("vec").flatten()).reshape(-1, dim))
                 near = math.ceil(probes * axes**GROWTH) if query else 1
-                for t in range(tables):
+                for t in tables:
                     code = buckets(x, t, axes, near)
                     for p in range(code.shape[1]):
-                        key = ((code[:, p] * tables + t) * 16 + axes.bit_length()) * 100_003 + dim
+                        key = ((code[:, p] * 1024 + t) * 64 + axes.bit_length()) * 100_003 + dim
                         yield pa.RecordBatch.from_arrays([pa.array(key), *some.columns], fields.names)
 
     return vectors.mapInArrow(run, fields)
 
 
 def _bands(groups: DataFrame, bucket: int, small: int) -> DataFrame:
-    """dim, band and axes of each band of lengths; axes: signed axes of the second hash (1: none, 0: no hash either)."""
+    """dim, band and axes of each band of lengths; axes: signed axes of all further hashes (1: none, 0: no hash either)."""
     n = groups.groupBy("dim", "band").agg(F.count("*").alias("n"))
     first = F.pow(F.lit(2.0), F.lit(1) + F.ceil(F.log2("dim"))).cast("long")
     fill = F.floor(F.floor(F.col("n") / first) / bucket)
-    axes = F.least(first, F.when(fill > 0, F.pow(F.lit(2.0), F.length(F.bin(fill)))).otherwise(1).cast("long"))
+    axes = F.when(fill > 0, F.pow(F.lit(2.0), F.length(F.bin(fill)))).otherwise(1).cast("long")
     return n.select("dim", "band", F.when(F.col("n") > small, axes).otherwise(0).alias("axes"))
 
 
 def _valid(table: DataFrame) -> DataFrame:
-    vec = F.col("embedding").cast("array<double>")
+    kind = table.schema["embedding"].dataType
+    own = "float" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "double"
+    vec = F.col("embedding").cast(f"array<{own}>")
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec")).where("vec_id IS NOT NULL AND vec IS NOT NULL")
     rows = rows.where(finite & F.exists("vec", lambda x: x != 0))
-    plain = F.transform("vec", lambda x: x + F.lit(0.0))  # -0.0 is 0.0
+    plain = F.transform("vec", lambda x: x + F.lit(0.0).cast(own))  # -0.0 is 0.0
     return rows.select("vec_id", plain.alias("vec")).select("*", F.xxhash64("vec").alias("k1"), F.xxhash64(F.reverse("vec"), F.lit(1)).alias("k2"))
 
 
 def _ranked(data: DataFrame, probe: DataFrame, top: int) -> DataFrame:
     """q1, q2, k1, k2, score, low: of each block of a bucket, the `top` + 1 largest inner products of each query."""
     count = lambda df, per, name: df.groupBy("bucket").agg(F.ceil(F.count("*") / per).cast("int").alias(name))
+    data, probe = written(data, "data"), written(probe, "probes")  # hashed once, counted and met
     blocks = written(count(data, ROWS, "dn").join(count(probe, QUERIES, "qn"), "bucket"), "buckets")
     spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = data.join(blocks, "bucket").select("bucket", F.pmod("k1", "dn").cast("int").alias("d"), spread("qn").alias("q"), "k1", "k2", "vec", "low")
@@ -132,18 +145,25 @@ def _ranked(data: DataFrame, probe: DataFrame, top: int) -> DataFrame:
 
     def rank(a: pa.Table, b: pa.Table) -> pa.Table:
         if a.num_rows and b.num_rows:
-            x = np.asarray(a.column("vec").combine_chunks().flatten()).reshape(a.num_rows, -1)
-            y = np.asarray(b.column("vec").combine_chunks().flatten()).reshape(b.num_rows, -1)
-            score = y @ x.T
+            x, y = (np.asarray(t.column("vec").combine_chunks().flatten(), float).reshape(t.num_rows, -1) for t in (a, b))
             low = np.asarray(a.column("low").combine_chunks())
-            best = np.lexsort((np.broadcast_to(low, score.shape), -score), axis=1)[:, : top + 1]
-            i, j = np.repeat(np.arange(len(y)), best.shape[1]), best.ravel()
-            return pa.table({"q1": b.column("q1").take(i), "q2": b.column("q2").take(i), "k1": a.column("k1").take(j), "k2": a.column("k2").take(j), "low": low[j], "score": score[i, j]})
+            near = y @ x.T
+            # Products of matrices sum in an order of their own: what is within its error of the last place is summed again.
+            least = np.partition(near, max(0, len(x) - top - 1), axis=1)[:, max(0, len(x) - top - 1)]
+            slack = 1e-12 * np.linalg.norm(y, axis=1) * np.linalg.norm(x, axis=1).max()
+            i, j = np.nonzero(near >= (least - slack)[:, None])
+            score = np.cumsum(y[i] * x[j], axis=1)[:, -1]
+            o = np.lexsort((low[j], -score, i))
+            o = o[np.arange(len(o)) - np.searchsorted(i[o], i[o]) <= top]
+            i, j, score = i[o], j[o], score[o]
+            return pa.table({"q1": b.column("q1").take(i), "q2": b.column("q2").take(i), "k1": a.column("k1").take(j), "k2": a.column("k2").take(j), "low": low[j], "score": score})
         return pa.table({k: pa.array([], pa.int64()) for k in ("q1", "q2", "k1", "k2", "low")} | {"score": pa.array([], pa.float64())})
 
     by = ("bucket", "d", "q")
     near = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(rank, "q1 long, q2 long, k1 long, k2 long, low long, score double")
-    return near.groupBy("q1", "q2", "k1", "k2").agg(F.max("score").alias("score"), F.min("low").alias("low"))
+    near = written(near.groupBy("q1", "q2", "k1", "k2").agg(F.max("score").alias("score"), F.min("low").alias("low")), "near")
+    discard(data, probe, blocks)
+    return near
 
 
 def search(table: DataFrame, every: int = 20, top: int = TOP, tables: int = TABLES, probes: int = PROBES, bucket: int = BUCKET, small: int = SMALL) -> DataFrame:
@@ -152,7 +172,7 @@ def search(table: DataFrame, every: int = 20, top: int = TOP, tables: int = TABL
     nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))
     few = rows.dropDuplicates(["k1", "k2", "vec_id"]).select("*", nth.alias("nth")).where(F.col("nth") <= top + 1)
     groups = few.groupBy("k1", "k2").agg(F.any_value("vec").alias("vec"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    size2 = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    size2 = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     band = F.coalesce(F.greatest(F.lit(-4000), F.least(F.lit(4000), F.floor(F.log2(size2) + 0.5))), F.lit(-4000)).cast("int")
     groups = written(groups.select("*", F.size("vec").alias("dim"), band.alias("band")), "vectors")
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("k1").alias("q1"), F.col("k2").alias("q2"), "vec").dropDuplicates(["query_id", "q1", "q2"])
@@ -161,10 +181,13 @@ def search(table: DataFrame, every: int = 20, top: int = TOP, tables: int = TABL
     hashed = bands.where("axes > 0").select("dim", "axes").distinct()
     dealt = groups.join(bands, ["dim", "band"]).select("k1", "k2", "vec", F.col("ids")[0].alias("low"), "dim", "band", "axes")
     whole = (-1 - F.col("dim") * F.lit(8192).cast("long") - (F.col("band") + 4000)).alias("bucket")
-    data = _hashed(dealt.where("axes > 0").drop("dim", "band"), False, 1, tables).unionByName(dealt.where("axes = 0").select(whole, "k1", "k2", "vec", "low"))
-    probe = _hashed(wanted.join(hashed, "dim").select("q1", "q2", "vec", "axes"), True, probes, tables)
-    probe = probe.unionByName(wanted.join(bands.where("axes = 0"), "dim").select(whole, "q1", "q2", "vec"))
-    near = written(_ranked(data, probe, top), "near")
+    near = _ranked(dealt.where("axes = 0").select(whole, "k1", "k2", "vec", "low"), wanted.join(bands.where("axes = 0"), "dim").select(whole, "q1", "q2", "vec"), top)
+    # A few tables at a time: each brings all vectors to its buckets once.
+    for t in range(0, tables, ROUND):
+        some = range(t, min(tables, t + ROUND))
+        data = _hashed(dealt.where("axes > 0").drop("dim", "band"), False, 1, some)
+        near = near.unionByName(_ranked(data, _hashed(wanted.join(hashed, "dim").select("q1", "q2", "vec", "axes"), True, probes, some), top))
+    near = written(near.groupBy("q1", "q2", "k1", "k2").agg(F.max("score").alias("score"), F.min("low").alias("low")), "near")
     # Places met by each query, its own among them; where these are too few and rows were hashed, all are ranked.
     met = near.join(groups.select("k1", "k2", F.size("ids").alias("ids")), ["k1", "k2"]).groupBy("q1", "q2").agg(F.sum("ids").alias("met"))
     short = wanted.join(hashed.select("dim").distinct(), "dim").join(met, ["q1", "q2"], "left").where(F.coalesce("met", F.lit(0)) <= top)

@@ -96,3 +96,19 @@ def test_recall_with_a_second_rotation(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
     assert recall(spark, rows, bucket=1, small=0) >= 0.9  # 11 rows a bucket: 16 axes
+
+
+def test_recall_with_more_rotations(spark):
+    x = np.random.default_rng(6).normal(size=(1500, 8))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+    assert recall(spark, rows, bucket=1, small=0) >= 0.9  # 16 axes first, then 128 more: three rotations
+
+
+def test_a_pair_has_one_score(spark):
+    """Vectors of equal inner products: ties go to the smaller id, whatever block they meet in."""
+    rng = np.random.default_rng(7)
+    base = [float(np.float32(v)) for v in rng.normal(size=48)]
+    rows = [(0, [1.0] * 48, 0)] + [(i, [base[(k * 5 + i * 0) % 48] for k in range(48)], 0) for i in (5, 3)] + [(i, [float(v) for v in rng.normal(size=48) - 9], 0) for i in range(10, 60)]
+    table = spark.createDataFrame([(i, v, n) for i, v, n in rows], KINDS)
+    got = found(ann.search(table))[0]
+    assert [i for _, i in got[:2]] == [3, 5] and got[0][0] == got[1][0] == -float(np.cumsum(np.float64(np.float32(rows[1][1])))[-1])
