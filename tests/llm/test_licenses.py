@@ -36,9 +36,11 @@ def test_small_table_agrees_with_exact_search(spark):
     found = {}
     for r in licenses.scan(docs).collect():
         found.setdefault(r["doc_id"], set()).add(r["license"])
+    every = [(w, name) for name, wordings in licenses.TEMPLATES.items() for w in wordings]
     for doc, text in rows(docs):
-        for name, wordings in licenses.TEMPLATES.items():
-            if any(w in line for w in wordings for line in (text or "").split("\n") if len(line) < 2 * len(w)):
+        here = [(w, name) for w, name in every if w in (text or "")]
+        for w, name in here:
+            if not any(w != x and w in x for x, _ in here):
                 assert name in found.get(doc, set()), (doc, name)
 
 
@@ -68,3 +70,22 @@ def test_notices_inside_prose_and_wrapped_or_two():
             assert names("\n".join(textwrap.wrap(text, width))) == [name]
     assert names("Released under the MIT License.\nLicensed under the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]
     assert names("// SPDX-License-Identifier: GPL-2.0-or-later OR MIT") == ["GPL-2.0", "MIT"]
+
+
+def test_a_notice_in_a_very_long_line_and_dual_licenses():
+    prose = " ".join(f"w{i * 7919 % 1000}ord" for i in range(10_000))
+    mit, gpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL-3.0"]
+    assert names(f"{prose} {mit[0]} {prose}") == ["MIT"]
+    assert names(f"{prose} {mit[-1]} {prose}") == ["MIT"]
+    assert names("Released under the MIT License.\nReleased under the BSD 2-Clause License.") == ["MIT", "BSD-2-Clause"]
+    assert names("Released under the MIT License.\n\nReleased under the BSD 2-Clause License.") == ["MIT", "BSD-2-Clause"]
+    assert names(f"{mit[-1]}\n\n{gpl[-1]}") == ["MIT", "GPL-3.0"]
+    assert sorted(names(f"{prose} {mit[0]} {prose} {gpl[1]} {prose}")) == ["GPL-3.0", "MIT"]
+    assert names("SPDX-License-Identifier: MIT") == ["MIT"] and names("SPDX-License-Identifier: Apache-2.0") == ["Apache-2.0"]
+
+
+def test_a_license_without_its_last_paragraph_is_still_that_license():
+    for name in ("MIT", "BSD-3-Clause", "GPL-2.0", "AGPL-3.0", "LGPL-2.1", "ISC", "MPL-2.0", "Unlicense"):
+        whole = licenses.TEMPLATES[name][-1]
+        assert names(whole) == [name] and names(f"Copyright 2020 A. Person\n\n{whole}\n\nimport os\n") == [name]
+        assert names(" ".join(whole.split()[: len(licenses.TEMPLATES[name][-2].split())])) == [name]
