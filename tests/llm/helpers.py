@@ -103,3 +103,24 @@ def repeated_bytes(docs, length=200):
         spans = sum(1 for k in range(len(raw)) if gone[k] and (k == 0 or not gone[k - 1]))
         out.append((i, len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def mixed(rows, cycle=3, most=3):
+    """rows: (id, source, size). Each source's target, copies for each row, and largest row, by resharing until none is above."""
+    size = {}
+    for _, s, n in rows:
+        size[s] = size.get(s, 0) + n
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: k % cycle + 1 for k, s in enumerate(order)}
+    left, open_, target = float(sum(size.values())), set(order), {}
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > most * size[s]}
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = float(most * size[s])
+            left -= target[s]
+        open_ -= over
+    return {s: (target[s], target[s] / size[s] if size[s] else 0, max(n for _, x, n in rows if x == s)) for s in order}
