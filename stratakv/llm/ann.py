@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from stratakv.llm.common import discard, written
+from stratakv.llm.common import discard, frees_shuffles, written
 
 TABLES, PROBES, TOP = 20, 6, 20
 #: Tables that are searched at once.
@@ -166,6 +166,7 @@ def _ranked(data: DataFrame, probe: DataFrame, top: int) -> DataFrame:
     return near
 
 
+@frees_shuffles
 def search(table: DataFrame, every: int = 20, top: int = TOP, tables: int = TABLES, probes: int = PROBES, bucket: int = BUCKET, small: int = SMALL) -> DataFrame:
     """query_id, rank, vec_id, score: queries are the rows whose vec_id is divisible by `every`."""
     rows = _valid(table)

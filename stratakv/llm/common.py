@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -45,6 +46,30 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+#: Spark's setting that shuffle files go as soon as the query that wrote them has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def frees_shuffles(f):
+    """For operators of many steps that each write a table: no step's shuffle files outlive it.
+
+    Only queries made inside f have the setting; the result is a query of the caller's.
+    """
+
+    @functools.wraps(f)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        conf = df.sparkSession.conf
+        before = conf.get(CLEAN, "false")
+        conf.set(CLEAN, "true")
+        try:
+            out = f(df, *args, **options)
+        finally:
+            conf.set(CLEAN, before)
+        return out.select("*")
+
+    return run
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing reads any more."""
     for df in tables:

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratakv.llm.common import written
+from stratakv.llm.common import frees_shuffles, written
 from stratakv.llm.components import components, joined
 from stratakv.llm.text import LOWER, SMALL, Family, mix64, texts, word_spans
 
@@ -207,6 +207,7 @@ def _across(label: DataFrame, packed: DataFrame, n: int, percent: int) -> DataFr
     return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+@frees_shuffles
 def classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", half: int = HALF, keys: int = KEYS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     signed = written(signatures(docs, n, half, keys, text), "signed")

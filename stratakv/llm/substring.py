@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratakv.llm.anchors import spans
-from stratakv.llm.common import written
+from stratakv.llm.common import frees_shuffles, written
 from stratakv.llm.text import SMALL, Family, ranges, texts, word_spans
 
 LENGTH, GRAM = 20, 4
@@ -114,6 +114,7 @@ def _windows(spots: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     return both.select("doc_id", "row", "z", "spot").mapInArrow(run, "key long, w long, doc_id long, row long, start int")
 
 
+@frees_shuffles
 def removals(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
     """doc_id, row, lo, hi: words lo..hi-1 go. Stretches may overlap or repeat."""
     found = written(repeated(*seeds(docs, length, k)), "seeds")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from stratakv.llm import sufsort
 from stratakv.llm.anchors import spans
-from stratakv.llm.common import discard, written
+from stratakv.llm.common import discard, frees_shuffles, written
 from stratakv.llm.substring import keyed, packed, repeated
 from stratakv.llm.text import SMALL, Family, texts
 
@@ -113,13 +113,13 @@ def _offsets(kinds: DataFrame, stretches: DataFrame) -> DataFrame:
     return spots.join(gone, ["doc_id", "row"]).select("spot", "gone").mapInArrow(run, "key long, h long, a int, b int")
 
 
+@frees_shuffles
 def removals(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
     """doc_id, row, lo, hi: bytes lo..hi-1 go. Stretches may overlap or repeat."""
     found = written(repeated(*seeds(docs, length, k)), "seeds")
     at = F.struct("doc_id", "row", "lo")
     kinds = written(found.groupBy("key", "h").agg(F.min(at).alias("f"), F.max(at).alias("g"), F.count("*").alias("c"), F.min("n").alias("n")), "spans")
     chunks = _chunks(kinds, docs, length)
-    docs.sparkSession._jvm.System.gc()  # lets go of shuffles that nothing refers to any more
     starts = sufsort.repeats(chunks, length)
     offsets = written(_offsets(kinds, _stretches(chunks, starts)), "offsets")
     discard(chunks, starts, kinds)

@@ -37,7 +37,7 @@ DEPTH, LEVELS = 243, (3, 4, 5)
 #: Text bytes of a chunk and of a part; suffixes sampled from a chunk, and chunks sampled.
 CHUNK, PART, SAMPLE, SAMPLED = 1 << 20, 1 << 19, 16, 1024
 #: Rounds in which level 3 is sorted.
-ROUNDS = 6
+ROUNDS = 5
 #: Bytes at most from a window's start to the sample of level 3.
 REACH = 26
 
@@ -421,7 +421,6 @@ def repeats(chunks: DataFrame, length: int) -> DataFrame:
     back: dict[int, DataFrame] = {}
     for step, depth, merge in ((3, 27, _texts_merged), (4, 81, _triples_merged), (5, DEPTH, _triples_merged), (6, DEPTH, _suffixes_merged)):
         back[step] = _exchange(_with(base, back, step).mapInArrow(emit(step, depth), EMITTED), merge, f"names{step}")
-        spark._jvm.System.gc()  # lets go of the step's shuffles, which nothing refers to any more
 
     def hits(t: pa.Table) -> pa.Table:
         some = [unpack(z, *PAYLOAD.values()) for z in t.column("z").to_pylist()]
@@ -437,12 +436,11 @@ def repeats(chunks: DataFrame, length: int) -> DataFrame:
 
     ranks = written(_with(base, back, 7).mapInArrow(ranks_of, "chunk long, ranks binary"), "ranks")
     discard(*(back[k] for k in (4, 5, 6)))
-    # Rounds bound what the shuffle holds at once: each sorts the windows of a part of the order.
+    # Rounds bound what the shuffle holds at once: each sorts the windows of a part of the order, and frees its files.
     rounds = []
     for i in range(ROUNDS):
         if own := range(parts * i // ROUNDS, parts * (i + 1) // ROUNDS):
             rounds.append(written(_with(base, back, 4).join(ranks, "chunk").mapInArrow(emit_windows(own), EMITTED).groupBy("part").applyInArrow(hits, "chunk long, z binary"), "repeats"))
-            spark._jvm.System.gc()
     out = written(reduce(DataFrame.union, rounds).groupBy("chunk").agg(F.collect_list("z").alias("starts")), "starts")
     discard(back[3], ranks, *rounds)
     return out
