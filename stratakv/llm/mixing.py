@@ -69,8 +69,9 @@ def mix(sized: DataFrame, tie: tuple[str, ...] = (), cycle: int = 3, max_repeats
     """
     parts = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["size", "doc_id", *tie]
+    # Sizes are written first: dealing out by range reads them twice, once for a sample.
     dealt = (
-        sized.select("doc_id", "source", "size", *tie)
+        written(sized.select("doc_id", "source", "size", *tie), "sizes")
         .repartitionByRange(parts, F.col("source").asc_nulls_last(), *order)
         .withColumn("part", F.spark_partition_id())
     )
