@@ -32,6 +32,18 @@ MAGIC = b"\x1f\x8b\x08"
 READ_BACK = "record_id string, record_type string, refers_to string, target_uri string, payload_bytes long, payload_digest string, payload binary, file string, at long"
 
 
+#: Names that Spark's file systems have and pyarrow's have otherwise.
+SCHEMES = {"s3a://": "s3://", "s3n://": "s3://", "dbfs:/": "file:///dbfs/"}
+
+
+def place(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path in it."""
+    for theirs, ours in SCHEMES.items():
+        if uri.startswith(theirs):
+            uri = ours + uri[len(theirs) :].lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
 def classify(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """page_id, url, payload, digest, refers_to: what to write for each row."""
     body = F.coalesce(F.encode(F.col("html"), "UTF-8"), F.lit(b""))
@@ -64,7 +76,7 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches):
-        where, path = fs.FileSystem.from_uri(folder)
+        where, path = place(folder)
         name = f"{path}/{uuid.uuid4().hex}.warc.gz"
         size, out = 0, None
         for batch in batches:
@@ -150,7 +162,7 @@ def read(spark: SparkSession, files: DataFrame, span: int = RANGE, payload: bool
     def run(batches):
         for batch in batches:
             for file, start, stop in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "stop")), strict=True):
-                where, path = fs.FileSystem.from_uri(file)
+                where, path = place(file)
                 rows, held = [], 0
                 with where.open_input_file(path) as source:
                     for at, head, block in scan(source, start, stop):
