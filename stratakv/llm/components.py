@@ -7,22 +7,25 @@ from pyspark.sql import functions as F
 
 from stratakv.llm.common import discard, written
 
-# The least neighbours are written before links meet them: of two plain inputs Spark broadcasts the smaller if its
-# size allows it, and splits a node that many links share otherwise.
-
-
 def _large(e: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every larger neighbour of a node is linked to the node's smallest neighbour (or itself)."""
+    """Every larger neighbour of a node is linked to the node's smallest neighbour (or itself); and those smallest ones.
+
+    These are written before links meet them: of two plain inputs Spark broadcasts the smaller if its size allows
+    it, and splits a node that many links share otherwise.
+    """
     sym = e.union(e.select("v", "u")).toDF("u", "v")
     low = written(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return sym.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), low
 
 
-def _small(e: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every smaller neighbour of a node, and the node, are linked to its smallest neighbour."""
-    low = written(e.groupBy("u").agg(F.min("v").alias("m")), "least")
+def _small(e: DataFrame) -> DataFrame:
+    """Every smaller neighbour of a node, and the node, are linked to its smallest neighbour.
+
+    After a large step a node has few smaller neighbours.
+    """
+    low = e.groupBy("u").agg(F.min("v").alias("m"))
     moved = e.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(low).toDF("u", "v").distinct(), low
+    return moved.union(low).toDF("u", "v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,10 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         before, (more, low) = e, _large(e)
-        middle = written(more, "links")
-        less, low2 = _small(middle)
-        e = written(less, "links")
-        discard(before, low, middle, low2)
+        e = written(_small(more), "links")
+        discard(before, low)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or now[0] == 0:
             break
