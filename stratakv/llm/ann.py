@@ -26,6 +26,7 @@ columns are ignored. An empty table gives an empty table.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -182,13 +183,15 @@ def search(table: DataFrame, every: int = 20, top: int = TOP, tables: int = TABL
     hashed = bands.where("axes > 0").select("dim", "axes").distinct()
     dealt = groups.join(bands, ["dim", "band"]).select("k1", "k2", "vec", F.col("ids")[0].alias("low"), "dim", "band", "axes")
     whole = (-1 - F.col("dim") * F.lit(8192).cast("long") - (F.col("band") + 4000)).alias("bucket")
-    near = _ranked(dealt.where("axes = 0").select(whole, "k1", "k2", "vec", "low"), wanted.join(bands.where("axes = 0"), "dim").select(whole, "q1", "q2", "vec"), top)
+    parts = [_ranked(dealt.where("axes = 0").select(whole, "k1", "k2", "vec", "low"), wanted.join(bands.where("axes = 0"), "dim").select(whole, "q1", "q2", "vec"), top)]
     # A few tables at a time: each brings all vectors to its buckets once.
     for t in range(0, tables, ROUND):
         some = range(t, min(tables, t + ROUND))
         data = _hashed(dealt.where("axes > 0").drop("dim", "band"), False, 1, some)
-        near = near.unionByName(_ranked(data, _hashed(wanted.join(hashed, "dim").select("q1", "q2", "vec", "axes"), True, probes, some), top))
+        parts.append(_ranked(data, _hashed(wanted.join(hashed, "dim").select("q1", "q2", "vec", "axes"), True, probes, some), top))
+    near = reduce(DataFrame.unionByName, parts)
     near = written(near.groupBy("q1", "q2", "k1", "k2").agg(F.max("score").alias("score"), F.min("low").alias("low")), "near")
+    discard(*parts)
     # Places met by each query, its own among them; where these are too few and rows were hashed, all are ranked.
     met = near.join(groups.select("k1", "k2", F.size("ids").alias("ids")), ["k1", "k2"]).groupBy("q1", "q2").agg(F.sum("ids").alias("met"))
     short = wanted.join(hashed.select("dim").distinct(), "dim").join(met, ["q1", "q2"], "left").where(F.coalesce("met", F.lit(0)) <= top)
