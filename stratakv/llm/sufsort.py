@@ -162,6 +162,7 @@ def order(t: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def _truncated(splitters: list[bytes], depth: int) -> list[bytes]:
+    """Splitters of keys of `depth` bytes; equal ones are one."""
     return sorted({s[:depth] for s in splitters})
 
 
@@ -344,7 +345,7 @@ def repeats(chunks: DataFrame, length: int) -> DataFrame:
         def run(batches):
             cut = _truncated(shared.value, core)
             low = cut[parts.start - 1] if parts.start else None
-            high = cut[parts.stop - 1] if parts.stop <= len(cut) else None
+            high = cut[parts.stop - 1] if parts.stop <= len(cut) else None  # none behind the last part
             for batch in batches:
                 for row in batch.to_pylist():
                     c = Chunk(zstandard.decompress(row["z"]), unpack(row["codes"], np.int32)[0])
@@ -437,7 +438,7 @@ def repeats(chunks: DataFrame, length: int) -> DataFrame:
     ranks = written(_with(base, back, 7).mapInArrow(ranks_of, "chunk long, ranks binary"), "ranks")
     discard(*(back[k] for k in (4, 5, 6)))
     # Rounds bound what the shuffle holds at once: each sorts the windows of a part of the order, and frees its files.
-    rounds = []
+    rounds, parts = [], len(_truncated(splitters, core)) + 1
     for i in range(ROUNDS):
         if own := range(parts * i // ROUNDS, parts * (i + 1) // ROUNDS):
             rounds.append(written(_with(base, back, 4).join(ranks, "chunk").mapInArrow(emit_windows(own), EMITTED).groupBy("part").applyInArrow(hits, "chunk long, z binary"), "repeats"))

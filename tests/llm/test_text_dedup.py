@@ -109,6 +109,18 @@ def test_suffix_dedup_over_many_chunks_and_parts(spark, monkeypatch):
     assert {r["n_removed"] for r in suffix.dedup(df).select("n_removed").collect()} == {0}
 
 
+def test_suffix_dedup_of_little_text_over_many_parts(spark):
+    """More parts than there are suffixes to tell them apart by."""
+    docs = [(i, "ab" * 200) for i in range(5)] + [(9, "x" * 300)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        found = suffix.dedup(spark.createDataFrame(docs, DOCS)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert sorted(rows(found)) == sorted(H.repeated_bytes(docs))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_order_of_suffixes():
     """The merged order of a chunk is that of its suffixes, also where they repeat and where they overlap."""
     text = (H.sentence(1, 300, 9) + "ab" * 300 + H.sentence(1, 200, 9) + "a" * 500).encode()
