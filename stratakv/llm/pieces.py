@@ -43,6 +43,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 REMEMBER, SLOTS = 400_000, 20
 #: Characters of a unit that advances alone, and of it looked up at once.
 LONG, STRETCH = 64, 1 << 15
+SEED = 41
 
 
 class Vocabulary(NamedTuple):
@@ -101,10 +102,10 @@ def load(data: bytes) -> Vocabulary:
 
 
 class Codec:
-    """Tables for one vocabulary, made in each task, and the units met so far."""
+    """Tables for one vocabulary, and the units met so far."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.fam = v, Family(41)
+        self.v, self.fam = v, Family(SEED)
         ids = [i for i in range(len(v.pieces)) if v.types[i] in (NORMAL, USER)]
         # Symbols: pieces by id; characters that only occur inside pieces follow.
         self.symbol = {v.pieces[i]: i for i in ids}
@@ -123,19 +124,35 @@ class Codec:
         chars = sorted((self._hash(s), i) for s, i in self.symbol.items() if len(s.decode()) == 1)
         self.char_key, self.char_id = np.array([h for h, _ in chars], np.uint64), np.array([i for _, i in chars])
         self.bpe = v.kind == BPE
-        self.asked, self.answer = np.full(1 << SLOTS, -1), np.zeros(1 << SLOTS, bool)
         if self.bpe:
             self._pairs(ids)
             ids = self._joins(ids)
         keys = sorted((self._hash(v.pieces[i]), i) for i in ids)
         self.key, self.key_id = np.array([h for h, _ in keys], np.uint64), np.array([i for _, i in keys])
         self.low = float(v.scores[ids].min(initial=0)) - 10.0  # what an unknown character costs
-        self.piece_bytes = [self._shown(i) for i in range(len(v.pieces))]
-        self.piece_size = np.array([len(p) for p in self.piece_bytes])
+        shown = [self._shown(i) for i in range(len(v.pieces))]
+        self.piece_size = np.array([len(p) for p in shown])
         self.piece_at = np.cumsum(self.piece_size) - self.piece_size
-        self.blob = np.frombuffer(b"".join(self.piece_bytes), np.uint8)
+        self.blob = np.frombuffer(b"".join(shown), np.uint8)
+        self._start()
+
+    def _start(self) -> None:
+        self.asked, self.answer = np.full(1 << SLOTS, -1), np.zeros(1 << SLOTS, bool)
         self.forget()
 
+    def tables(self) -> dict:
+        """The tables alone, as plain values: made once, sent to every task."""
+        own = ("v", "fam", "symbol", "pairs", "asked", "answer", "known", "start", "count", "ids")
+        return {k: x for k, x in vars(self).items() if k not in own} | {"v": tuple(self.v)}
+
+    @classmethod
+    def of(cls, tables: dict) -> Codec:
+        """A codec that knows no unit yet, from another's tables."""
+        out = cls.__new__(cls)
+        vars(out).update(tables, v=Vocabulary(*tables["v"]), fam=Family(SEED))
+        out._start()
+        return out
+
     def _shown(self, i: int) -> bytes:
         if self.v.types[i] == BYTE:
             return bytes([int(self.v.pieces[i][3:5], 16)])
@@ -275,7 +292,7 @@ class Codec:
         length = chars[b] - chars[a]
         begin = np.flatnonzero(lead)
         begin = np.r_[begin, len(raw)]
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(kind)
+        start, count, ids, total = np.zeros(len(kind), np.int64), np.zeros(len(kind), np.int64), [self.ids], len(self.ids)
         for n in np.unique(length):
             rows = np.flatnonzero(length == n)
             block = max(1, (1 << 18) // int(n)) if n <= LONG else 1
@@ -283,12 +300,15 @@ class Codec:
                 some = rows[lo : lo + block]
                 edge = begin[chars[a[some]][:, None] + np.arange(n + 1)]  # bytes where characters begin
                 edge[:, -1] = b[some]
-                sym = self._viterbi(h, edge) if n <= LONG else self._alone(h, edge[0])
-                for r, ids in zip(some.tolist(), self._named(raw, edge, *sym), strict=True):
-                    out[r] = ids
-        count = np.array([len(x) for x in out])
-        start = np.cumsum(count) - count + len(self.ids)
-        self.ids = np.concatenate([self.ids, *out]).astype(np.int32)
+                sym, at = self._viterbi(h, edge) if n <= LONG else self._alone(h, edge[0])
+                plain = (sym < len(self.v.pieces)).all(axis=1)
+                for own, of in ((plain, self._as_they_are), (~plain, self._named)):
+                    if own.any():
+                        found, many = of(raw, edge[own], sym[own], at[own])
+                        start[some[own]], count[some[own]] = total + np.cumsum(many) - many, many
+                        ids.append(found)
+                        total += len(found)
+        self.ids = np.concatenate(ids).astype(np.int32)
         known = np.concatenate([self.known, kind])
         order = np.argsort(known)
         self.known, self.start, self.count = known[order], np.concatenate([self.start, start])[order], np.concatenate([self.count, count])[order]
@@ -376,25 +396,25 @@ class Codec:
         sym, at = np.array(path[::-1], np.int64).T
         return sym[None], at[None]
 
-    def _named(self, raw: np.ndarray, edge: np.ndarray, sym: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-        """Symbols as ids; characters without a piece as byte pieces or unknown."""
-        plain = (sym < len(self.v.pieces)).all(axis=1)
-        n = (sym >= 0).sum(axis=1)
-        out = []
-        for r in range(len(sym)):
-            ids = sym[r, : n[r]]
-            if not plain[r]:
-                own = []
-                for i, c in zip(ids.tolist(), at[r].tolist()):
-                    if i < len(self.v.pieces):
-                        own.append(i)
-                    elif self.bytes_known:
-                        own.extend(self.byte[raw[edge[r, c] : edge[r, c + 1]]].tolist())
-                    elif not own or own[-1] != self.v.unknown:
-                        own.append(self.v.unknown)
-                ids = np.array(own)
-            out.append(ids.astype(np.int32))
-        return out
+    def _as_they_are(self, raw: np.ndarray, edge: np.ndarray, sym: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of rows whose symbols are all pieces, and how many each has."""
+        return sym[sym >= 0].astype(np.int32), (sym >= 0).sum(axis=1)
+
+    def _named(self, raw: np.ndarray, edge: np.ndarray, sym: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of rows with characters without a piece, which become byte pieces or unknown."""
+        out, many = [], []
+        for r, n in enumerate((sym >= 0).sum(axis=1).tolist()):
+            own = []
+            for i, c in zip(sym[r, :n].tolist(), at[r].tolist()):
+                if i < len(self.v.pieces):
+                    own.append(i)
+                elif self.bytes_known:
+                    own.extend(self.byte[raw[edge[r, c] : edge[r, c + 1]]].tolist())
+                elif not own or own[-1] != self.v.unknown:
+                    own.append(self.v.unknown)
+            out += own
+            many.append(len(own))
+        return np.array(out, np.int32), np.array(many, np.int64)
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all texts, and where each begins."""
@@ -425,10 +445,11 @@ def encode(docs: DataFrame, v: Vocabulary, check: bool = False) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "round_trip")]
     more = {"ids": F.array(F.lit(0)), "n_tokens": F.lit(0).cast("long")} | ({"round_trip": F.lit(True)} if check else {})
     fields = docs.select(*rest, *(c.alias(k) for k, c in more.items())).schema
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(v))  # one vocabulary; a plain tuple, which workers read without this package
+    # Tables are made once, not in each task; plain values, which workers read without this package.
+    shared = docs.sparkSession.sparkContext.broadcast(Codec(v).tables())
 
     def run(batches):
-        codec = Codec(Vocabulary(*shared.value))
+        codec = Codec.of(shared.value)
         for batch, data, off in texts(batches):
             ids, first = codec.encode(data, off)
             cols = [*(batch.column(c) for c in rest), _lists(ids, first), pa.array(np.diff(first))]
@@ -446,10 +467,10 @@ def decode(rows: DataFrame, v: Vocabulary) -> DataFrame:
     """rows with text instead of ids; null ids give an empty text."""
     rest = [c for c in rows.columns if c not in ("ids", "text")]
     fields = rows.select(*rest, F.lit("").alias("text")).schema
-    shared = rows.sparkSession.sparkContext.broadcast(tuple(v))  # as in encode()
+    shared = rows.sparkSession.sparkContext.broadcast(Codec(v).tables())  # as in encode()
 
     def run(batches):
-        codec = Codec(Vocabulary(*shared.value))
+        codec = Codec.of(shared.value)
         for batch in batches:
             col = batch.column("ids")
             flat = np.asarray(col.flatten(), np.int64)

@@ -102,3 +102,17 @@ def test_a_serialised_model_is_read_whole():
     theirs = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     assert len(v.pieces) == theirs.get_piece_size() and v.unknown == theirs.unk_id()
     assert io.BytesIO(v.pieces[100]).read().decode() == theirs.id_to_piece(100)
+
+
+def test_tasks_take_tables_that_were_made_once(monkeypatch):
+    v = pieces.vocabulary()
+    made = pieces.Codec(v)
+    tables = made.tables()
+    monkeypatch.setattr(pieces.Codec, "_joins", lambda *_: pytest.fail("made again"))
+    raw = "".join([" a unit, ", "naïve \U0001f9ff x", "", "again and again"]).encode()
+    data, off = np.frombuffer(raw, np.uint8), np.array([0, 9, len(raw) - 15, len(raw) - 15, len(raw)])
+    ids, first = pieces.Codec.of(tables).encode(data, off)
+    wanted, at = made.encode(data, off)
+    assert np.array_equal(ids, wanted) and np.array_equal(first, at) and len(ids) > 10
+    back, cut = pieces.Codec.of(tables).decode(ids, first)
+    assert back.tobytes() == raw and np.array_equal(cut, off)
