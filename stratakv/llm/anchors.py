@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-from stratakv.llm.text import Family, ranges
+from stratakv.llm.text import Family
 
 
 class Spans(NamedTuple):
@@ -24,17 +24,19 @@ class Spans(NamedTuple):
     at: np.ndarray  # where the anchor is in the text
 
 
-def least(values: np.ndarray, w: int) -> np.ndarray:
-    """Where the first least value is in each run of w values."""
-    at, low, span = np.arange(len(values)), values, 1
+#: Hashes are compared by their upper half; the lower half holds the place, so that the first least one is the least number.
+HIGH = np.uint64(2**64 - 2**32)
+
+
+def least(hashes: np.ndarray, w: int) -> np.ndarray:
+    """Where the first least hash is in each run of w of them. Places are below 2**32; the upper 32 bits decide."""
+    low, span = hashes & HIGH | np.arange(len(hashes), dtype=np.uint64), 1
     while span * 2 <= w:
         n = len(low) - span
-        left = low[:n] <= low[span : span + n]
-        at, low, span = np.where(left, at[:n], at[span : span + n]), np.where(left, low[:n], low[span : span + n]), span * 2
+        low, span = np.minimum(low[:n], low[span:]), span * 2
     if span < w:
-        d = w - span
-        at = np.where(low[:-d] <= low[d:], at[:-d], at[d:])
-    return at
+        low = np.minimum(low[: span - w], low[w - span :])
+    return low.astype(np.uint32)
 
 
 def spans(seed: tuple[Family, np.ndarray], check: tuple[Family, np.ndarray] | None, first: np.ndarray, length: int, k: int) -> Spans:
@@ -46,10 +48,17 @@ def spans(seed: tuple[Family, np.ndarray], check: tuple[Family, np.ndarray] | No
         none = np.zeros(0, np.int64)
         return Spans(none, none, none, none, none, none)
     fam, h = seed
-    i = np.arange(len(h) - k)
-    start = ranges(first[:-1][wins > 0], wins[wins > 0])
-    at = least(fam.span(h, i, i + k), length - k + 1)[start]
-    cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    lo, hi, at = start[cut], start[np.r_[cut[1:], len(start)] - 1], at[cut]
+    at = least(fam.grams(h, k), length - k + 1)
+    # Windows of each text are a..b-1; those between reach over the end of a text.
+    a = first[:-1][wins > 0]
+    b = a + wins[wins > 0]
+    new = np.r_[True, at[1:] != at[:-1], True]
+    new[a] = new[b] = True
+    cut = np.flatnonzero(new)
+    lo, hi = cut[:-1], cut[1:] - 1
+    own = np.searchsorted(a, lo, "right") - 1
+    use = (own >= 0) & (lo < b[own])
+    lo, hi = lo[use], hi[use]
+    at = at[lo].astype(np.int64)
     text = np.searchsorted(first, lo, "right") - 1
     return Spans(fam.span(h, at, at + k), check[0].span(check[1], lo, hi + length) if check else at[:0], text, lo - first[text], hi - lo + 1, at - first[text])

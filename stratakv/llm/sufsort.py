@@ -71,8 +71,51 @@ def unpack(z: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def bits(x: np.ndarray) -> int:
+    return int(x.max()).bit_length() if len(x) else 0
+
+
+def sorting(key: np.ndarray, kind: str = "stable") -> tuple[np.ndarray, np.ndarray]:
+    """The order of numbers of at least 0, and the sorted numbers. Where they fit, places are sorted along as lower bits: numbers sort faster than places."""
+    n = len(key).bit_length()
+    if bits(key) + n > 63:
+        at = np.argsort(key, kind=kind)
+        return at, key[at]
+    both = key.astype(np.int64) << n | np.arange(len(key))
+    both.sort()
+    return both & (1 << n) - 1, both >> n
+
+
 def dense(key: np.ndarray) -> np.ndarray:
-    return np.unique(key, return_inverse=True)[1]
+    """Ranks of numbers of at least 0: equal ones share one, and none is left out."""
+    at, key = sorting(key, "quicksort")
+    out = np.empty(len(at), np.int64)
+    out[at] = np.cumsum(np.r_[False, key[1:] != key[:-1]][: len(at)])
+    return out
+
+
+def alphabet(x: np.ndarray) -> tuple[np.ndarray, int]:
+    """Each byte's rank among those that occur, and the bits that ranks need."""
+    rank = np.cumsum(np.bincount(x, minlength=256) > 0) - 1
+    return np.maximum(rank, 0).astype(np.uint8), max(1, int(rank[-1]).bit_length())
+
+
+def one_key(columns: list[np.ndarray]) -> np.ndarray:
+    """Numbers in the order of rows of these columns, equal where the rows are equal."""
+    columns = [c - c.min() if len(c) else c for c in columns]
+    if sum(map(bits, columns)) > 63:
+        columns = [dense(c) if bits(c) > len(c).bit_length() else c for c in columns]
+    key = columns[0]
+    for c in columns[1:]:
+        if bits(key) + bits(c) > 63:
+            key, c = dense(key), dense(c)
+        key = key << bits(c) | c
+    return key
+
+
+def strings(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The n bytes from each place on, as rows."""
+    return np.ndarray(len(x) - n + 1, f"V{n}", x, strides=(1,))[at].view(np.uint8).reshape(len(at), n)
 
 
 class Chunk:
@@ -85,24 +128,29 @@ class Chunk:
         self.bytes = x = np.frombuffer(self.raw, np.uint8)
         self.ends = {3: m - 2 * DEPTH, 4: m - 3 * DEPTH, 5: m - 4 * DEPTH}
         if c27 is None:
-            p, y = sample(2, m - DEPTH), x.astype(np.int64)
+            rank, width = alphabet(x)
+            p, y = sample(2, m - DEPTH), rank.astype(np.int64)[x]
             six = y[p]
             for i in range(1, 6):
-                six = six << 8 | y[p + i]
-            c9 = dense(dense(six) << 24 | y[p + 6] << 16 | y[p + 7] << 8 | y[p + 8])
+                six = six << width | y[p + i]
+            nine = dense(six)
+            for i in range(6, 9):
+                nine = nine << width | y[p + i]
+            c9 = dense(nine)
             c27 = self._triple(c9, nth(2, sample(3, self.ends[3])), 4)
         self.codes = {3: c27}
 
-    def deepen(self) -> Chunk:
-        """Adds the local names of levels 4 and 5."""
+    def deepen(self, step: int = 5) -> Chunk:
+        """Adds the local names of level 4 and, from step 5 on, level 5."""
         self.codes[4] = self._triple(self.codes[3], nth(3, sample(4, self.ends[4])), 8)
-        self.codes[5] = self._triple(self.codes[4], nth(4, sample(5, self.ends[5])), 16)
+        if step > 4:
+            self.codes[5] = self._triple(self.codes[4], nth(4, sample(5, self.ends[5])), 16)
         return self
 
     @staticmethod
     def _triple(c: np.ndarray, i: np.ndarray, step: int) -> np.ndarray:
         c = c.astype(np.int64)
-        return dense(c[i] << 42 | c[i + step] << 21 | c[i + 2 * step])
+        return dense(one_key([c[i], c[i + step], c[i + 2 * step]]))
 
     def first(self, k: int) -> np.ndarray:
         """A place for each distinct triple of level k, in order of the triples."""
@@ -131,6 +179,11 @@ class Chunk:
         return {"t": t.astype(np.uint8), "s0": name(p), "s1": name(p + step), "r0": rank(p, t > 0), "r1": rank(p + step, t < 2), "r2": rank(p + 2 * step, t != 1)}
 
 
+    def order_of(self, p: np.ndarray) -> np.ndarray:
+        """The order of suffixes of level 4 at these places: local names, which are in the order of all chunks' names."""
+        return order(self.rows({4: np.arange(self.codes[4].max() + 1)}, self.codes[5].astype(np.int64), 4, p))
+
+
 MERGED = {"t": np.uint8, "s0": np.int64, "s1": np.int64, "r0": np.int64, "r1": np.int64, "r2": np.int64}
 
 
@@ -142,23 +195,20 @@ def order(t: dict[str, np.ndarray]) -> np.ndarray:
     suffixes of either kind before it, added up.
     """
     zero, one, two = (np.flatnonzero(t["t"] == k) for k in (0, 1, 2))
-    zero = zero[np.lexsort((t["r2"][zero], t["r1"][zero], t["s0"][zero]))]
+    zero = zero[sorting(one_key([t[c][zero] for c in ("s0", "r1", "r2")]))[0]]
     sampled = np.r_[one, two]
-    sampled = sampled[np.argsort(t["r0"][sampled], kind="stable")]
+    sampled = sampled[sorting(one_key([t["r0"][sampled]]))[0]]
 
     def before(own: np.ndarray, other: np.ndarray, cols: tuple[str, ...]) -> np.ndarray:
-        """How many of other (in order) are below each of own (in order)."""
+        """How many of other are below each of own."""
         every, n = np.r_[own, other], len(own)
-        at = np.lexsort(tuple(t[c][every] for c in reversed(cols)))
-        below = np.cumsum(at >= n)
-        out = np.empty(len(every), np.int64)
-        out[at] = below
-        return out[:n]
+        key = one_key([t[c][every] for c in cols])
+        return np.searchsorted(np.sort(key[n:]), key[:n])
 
     kind = t["t"][sampled]
     place = before(zero, sampled[kind == 1], ("s0", "r1")) + before(zero, sampled[kind == 2], ("s0", "s1", "r2"))
     place = np.maximum.accumulate(place) if len(place) else place
-    return np.r_[zero, sampled][np.argsort(np.r_[2 * place, 2 * np.arange(len(sampled)) + 1], kind="stable")]
+    return np.r_[zero, sampled][sorting(np.r_[2 * place, 2 * np.arange(len(sampled)) + 1])[0]]
 
 
 def _truncated(splitters: list[bytes], depth: int) -> list[bytes]:
@@ -185,39 +235,44 @@ def _exchange(emitted: DataFrame, merge, tag: str) -> DataFrame:
     return written(back.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "z"))).alias("back")), tag)
 
 
-def _shares(n: list[int], rank: np.ndarray) -> list[np.ndarray]:
-    return np.split(rank.astype(np.uint32), np.cumsum(n)[:-1])
+def _narrow(name: np.ndarray) -> np.ndarray:
+    """Names in the same order in fewer bits: the part's number follows on the largest place in any part."""
+    place = name & 2**32 - 1
+    return (name >> 32) - (name.min() >> 32 if len(name) else 0) << bits(place) | place
 
 
-def _ranked(words: list[np.ndarray]) -> np.ndarray:
-    """Dense ranks of rows, compared by these columns."""
-    at = np.lexsort(words[::-1])
-    new = np.zeros(len(at), bool)
-    for w in words:
-        w = w[at]
-        new[1:] |= w[1:] != w[:-1]
-    out = np.empty(len(at), np.int64)
-    out[at] = np.cumsum(new)
-    return out
+def _shares(n: list[int], rank: np.ndarray) -> list[np.ndarray]:
+    return np.split(rank.astype(np.uint32), np.cumsum(n)[:-1])
 
 
 def _texts_merged(blobs: list[bytes]) -> list[np.ndarray]:
     some = [unpack(z, (np.uint8, 27))[0] for z in blobs]
     n = [len(x) for x in some]
-    full = np.zeros((sum(n), 32), np.uint8)
-    full[:, :27] = np.concatenate(some)
-    words = full.view(">u8").astype(np.uint64)
-    return _shares(n, _ranked([words[:, i] for i in range(4)]))
+    text = np.concatenate(some)
+    # As many bytes at a time as fit beside the rank so far.
+    rank, width = alphabet(text.ravel())
+    columns = np.ascontiguousarray(rank[text].T)
+    key, a = np.zeros(len(text), np.int64), 0
+    while a < 27:
+        b = min(27, a + (63 - bits(key)) // width)
+        for i in range(a, b):
+            key = key << width | columns[i]
+        key, a = dense(key), b
+    return _shares(n, key)
 
 
 def _triples_merged(blobs: list[bytes]) -> list[np.ndarray]:
     some = [unpack(z, np.int64, np.int64, np.int64) for z in blobs]
-    return _shares([len(x[0]) for x in some], _ranked([np.concatenate(c) for c in zip(*some, strict=True)]))
+    return _shares([len(x[0]) for x in some], dense(one_key([_narrow(np.concatenate(c)) for c in zip(*some, strict=True)])))
+
+
+def _names_narrow(t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {c: x if c not in MERGED or c == "t" else _narrow(x) for c, x in t.items()}
 
 
 def _suffixes_merged(blobs: list[bytes]) -> list[np.ndarray]:
     some = [unpack(z, *MERGED.values()) for z in blobs]
-    at = order({c: np.concatenate(x) for c, x in zip(MERGED, zip(*some, strict=True), strict=True)})
+    at = order(_names_narrow({c: np.concatenate(x) for c, x in zip(MERGED, zip(*some, strict=True), strict=True)}))
     rank = np.empty(len(at), np.int64)
     rank[at] = np.arange(len(at))
     return _shares([len(x[0]) for x in some], rank)
@@ -270,7 +325,7 @@ def _agreeing(group: np.ndarray, texts: np.ndarray):
 
 def repeated(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Rows (in any order) and the steps back from them at which a window begins that another row has too."""
-    at = order(t)
+    at = order(_names_narrow({c: t[c] for c in MERGED}))
     near, w, lo, hi = t["near"][at], t["w"][at], t["lo"][at].astype(np.int64), t["hi"][at].astype(np.int64)
     same = w[1:] == w[:-1]  # neighbours that share the middle of the window
     group = np.cumsum(np.r_[True, ~same]) - 1
@@ -334,7 +389,7 @@ def repeats(chunks: DataFrame, length: int) -> DataFrame:
                 for row in batch.to_pylist():
                     c = Chunk(zstandard.decompress(row["z"]), unpack(row["codes"], np.int32)[0])
                     if step > 3:
-                        c.deepen()
+                        c.deepen(step)
                     got = {k: _names_of(row[f"back{k}"]) for k in LEVELS if row.get(f"back{k}") is not None}
                     at, cols = STEPS[step](c, got, row)
                     yield sent(c.cuts(at, cut, depth), cols, row, range(len(cut) + 1))
@@ -346,17 +401,18 @@ def repeats(chunks: DataFrame, length: int) -> DataFrame:
             cut = _truncated(shared.value, core)
             low = cut[parts.start - 1] if parts.start else None
             high = cut[parts.stop - 1] if parts.stop <= len(cut) else None  # none behind the last part
+            fam = Family(71)
             for batch in batches:
                 for row in batch.to_pylist():
                     c = Chunk(zstandard.decompress(row["z"]), unpack(row["codes"], np.int32)[0])
-                    edge, cols = windows_of(c, {3: _names_of(row["back3"])}, row, low, high, cut)
+                    edge, cols = windows_of(fam, c, {3: _names_of(row["back3"])}, row, low, high, cut)
                     yield sent(edge, cols, row, parts)
 
         return run
 
     def texts_of(c: Chunk, got, row):
         at = c.first(3)
-        return at, [c.bytes[at[:, None] + np.arange(27)]]
+        return at, [strings(c.bytes, at, 27)]
 
     def triples_of(k: int):
         def of(c: Chunk, got, row):
@@ -367,8 +423,7 @@ def repeats(chunks: DataFrame, length: int) -> DataFrame:
 
     def suffixes_of(c: Chunk, got, row):
         _, at = _distinct_suffixes(c)
-        t = c.rows(got, got[5][c.codes[5]], 4, at)
-        o = order(t)
+        t, o = c.rows(got, got[5][c.codes[5]], 4, at), c.order_of(at)
         return at[o], [t[x][o] for x in MERGED]
 
     def ranks_of(batches):
@@ -377,11 +432,10 @@ def repeats(chunks: DataFrame, length: int) -> DataFrame:
             for row in batch.to_pylist():
                 c = Chunk(zstandard.decompress(row["z"]), unpack(row["codes"], np.int32)[0]).deepen()
                 of, at = _distinct_suffixes(c)
-                t = c.rows({4: _names_of(row["back4"])}, _names_of(row["back5"])[c.codes[5]], 4, at)
-                ranks = _names_of(row["back6"])[_spread(order(t), len(at))][of]
+                ranks = _names_of(row["back6"])[_spread(c.order_of(at), len(at))][of]
                 yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([pack(ranks >> 32, ranks.astype(np.uint32))], pa.binary())], ["chunk", "ranks"])
 
-    def windows_of(c: Chunk, got, row, low: bytes | None, high: bytes | None, cut: list[bytes]):
+    def windows_of(fam: Family, c: Chunk, got, row, low: bytes | None, high: bytes | None, cut: list[bytes]):
         """Level 3's places that windows reach, by part, of suffixes from about low to high."""
         part, rank = unpack(row["ranks"], np.int64, np.uint32)
         ranks = (part << 32) + rank
@@ -407,10 +461,9 @@ def repeats(chunks: DataFrame, length: int) -> DataFrame:
         o = np.argsort(of, kind="stable")
         p, of = p[o], of[o]
         t = c.rows({3: got[3]}, ranks, 3, p)
-        step = np.arange(REACH, dtype=np.int32)
-        p4 = p.astype(np.int32)[:, None]
-        near = np.concatenate([c.bytes[np.maximum(p4 - 1 - step, 0)], c.bytes[p4 + core + step]], axis=1)
-        fam = Family(71)
+        # The bytes before, backwards, as far as there are any; lo and hi keep steps back within the text.
+        back = np.ascontiguousarray(np.r_[np.repeat(c.bytes[:1], REACH), c.bytes][::-1])
+        near = np.concatenate([strings(back, len(c.bytes) - p, REACH), strings(c.bytes, p + core, REACH)], axis=1)
         w = fam.span(fam.of_bytes(c.bytes), p, p + core)
         lo, hi = np.maximum(p - mark[p], 0), np.minimum(p - run[p], REACH)
         t |= {"near": near, "w": w, "lo": lo.astype(np.uint8), "hi": hi.astype(np.uint8), "p": p.astype(np.uint32)}
@@ -449,13 +502,14 @@ def repeats(chunks: DataFrame, length: int) -> DataFrame:
 
 def _intervals(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First numbers and lengths of the runs of consecutive numbers in p."""
-    p = np.unique(p)
+    p = np.sort(p)
+    p = p[np.r_[True, p[1:] != p[:-1]][: len(p)]]
     new = np.flatnonzero(np.r_[True, p[1:] != p[:-1] + 1])
     return p[new].astype(np.uint32), np.diff(np.r_[new, len(p)]).astype(np.uint32)
 
 
 #: What each step needs of the steps before it.
-NEEDS = {3: (), 4: (3,), 5: (4,), 6: (4, 5), 7: (4, 5, 6)}
+NEEDS = {3: (), 4: (3,), 5: (4,), 6: (4, 5), 7: (6,)}
 
 
 def _with(base: DataFrame, back: dict[int, DataFrame], step: int) -> DataFrame:

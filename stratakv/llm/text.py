@@ -67,6 +67,11 @@ class Family:
         self._grow(len(h))
         return mix64((h[b] - h[a]) * self.down[a])
 
+    def grams(self, h: np.ndarray, k: int) -> np.ndarray:
+        """A hash of every k consecutive symbols, not finalised: its upper bits depend on all of them."""
+        self._grow(len(h))
+        return (h[k:] - h[:-k]) * self.down[: len(h) - k]
+
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and where each begins; null is the empty text."""

@@ -5,8 +5,10 @@ import hashlib
 import numpy as np
 
 from stratakv.llm import minhash, substring, suffix, sufsort
+from stratakv.llm.anchors import spans
 from stratakv.llm.common import written
 from stratakv.llm.components import components, joined
+from stratakv.llm.text import Family
 from tests.helpers import SMALL, rows
 from tests.llm import helpers as H
 
@@ -134,6 +136,31 @@ def test_order_of_suffixes():
     assert all((p // 3**k % 3 > 0).all() for k in range(4))
 
 
+def test_ranks_and_keys_of_rows():
+    """Ranks through sorted numbers with their places, and through sorted places where these do not fit beside."""
+    rng = np.random.default_rng(3)
+    for top in (5, 2**20, 2**62):
+        x = rng.integers(0, top, 1000)[rng.integers(0, 1000, 3000)]
+        assert (sufsort.dense(x) == np.unique(x, return_inverse=True)[1]).all()
+        assert (sufsort.sorting(x)[0] == np.argsort(x, kind="stable")).all()
+        table = np.stack([x, rng.integers(0, 3, 3000), x[::-1]], axis=1)
+        assert (sufsort.dense(sufsort.one_key(list(table.T))) == np.unique(table, axis=0, return_inverse=True)[1].ravel()).all()
+    assert len(sufsort.dense(x[:0])) == 0
+
+
+def test_spans_hold_each_window_once_and_anchors_follow_the_text():
+    parts = [b"", b"ab" * 150, H.sentence(3, 90).encode(), b"short", H.sentence(3, 90).encode(), b"x" * 200]
+    first, fam, length, k = np.cumsum([0, *map(len, parts)]), Family(5), 100, 20
+    h = fam.of_bytes(np.frombuffer(b"".join(parts), np.uint8))
+    f = spans((fam, h), (fam, h), first, length, k)
+    windows = [(t, i) for t, lo, n in zip(f.text, f.lo, f.n, strict=True) for i in range(lo, lo + n)]
+    assert sorted(windows) == [(t, i) for t, x in enumerate(parts) for i in range(len(x) - length + 1)]
+    one, other = ([tuple(r) for r in np.stack([f.key.view(np.int64), f.h.view(np.int64), f.lo, f.n, f.at])[:, f.text == t].T.tolist()] for t in (2, 4))
+    assert one == other and (f.lo + f.n - 1 <= f.at).all() and (f.at + k <= f.lo + length).all()
+    grams, n = fam.grams(h, k) >> np.uint64(32), length - k + 1
+    assert [f.at[i] + first[f.text[i]] for i in range(len(f.at))] == [a + int(np.argmin(grams[a : a + n])) for a in (f.lo + first[f.text]).tolist()]
+
+
 def test_rows_that_share_only_an_id(spark):
     x, y = H.sentence(11, 60), H.sentence(12, 60)
     docs = [(1, x), (5, x), (5, y), (6, H.sentence(13, 50)), (6, H.sentence(13, 50)), (None, x)]
